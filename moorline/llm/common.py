@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import posixpath
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -17,11 +20,29 @@ BATCH_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows and bytes, so that long texts cannot fill a worker."""
+    """Ships the package, and bounds Arrow batches by rows and bytes, so that long texts cannot fill a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, which needn't have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    top = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp()) / f"{top.name}_modules.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder URI below the cluster's shared folder (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
