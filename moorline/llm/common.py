@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moorline.operators.graph import components
+from moorline.stage import materialise, remove, shared_dir, ship
+
+__all__ = ["append", "components", "free_name", "keep", "large_batches", "materialise", "open_fs", "remove", "shared_dir", "ship", "to_batch", "tune", "write_bytes"]
+
 #: Rows and bytes of one Arrow batch handed to Python; both bound a worker's memory, however long texts are.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
@@ -26,52 +27,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, which needn't have it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    top = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp()) / f"{top.name}_modules.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(archive))
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI below the cluster's shared folder (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        # Only tests and local sessions come here: a cluster names its shared folder.
-        base = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    if base.startswith("file:/") and not base.startswith("file://"):
-        base = "file://" + base[len("file:") :]
-    return f"{base.rstrip('/')}/moorline/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns the reread table: lineage ends here."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that materialise or an operator has written."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path on it, usable on executors."""
     return pafs.FileSystem.from_uri(uri)
@@ -114,48 +69,6 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges(a, b): rows (node, component), component the smallest node reachable.
-
-    Alternates the large-star and small-star steps; each round is written to the shared folder, so lineage
-    stays short. Both steps only group by a node and take its smallest neighbour, which Spark pre-aggregates,
-    and join that back, which AQE splits if a node is hot. Empty edges give an empty table.
-    """
-    spark = edges.sparkSession
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, paths = _stored(now, spark, [])
-    before = None
-    for _ in range(max_rounds):
-        # Large star: every node's larger neighbours point to its smallest neighbour (or itself).
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("low", "a"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a <> b").distinct()
-        # Small star: a node and its smaller neighbours point to the smallest of them.
-        small = large.groupBy("a").agg(F.min("b").alias("low"))
-        linked = large.join(small, "a")
-        after = linked.select(F.col("b").alias("a"), F.col("low").alias("b")).union(linked.select("a", F.col("low").alias("b")))
-        after = after.where("a <> b").distinct()
-        after, paths = _stored(after, spark, paths)
-        sign = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        now = after
-        if sign == before:
-            break
-        before = sign
-    else:
-        raise RuntimeError("components have not converged")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-def _stored(df: DataFrame, spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
-    """Writes df and drops the table before the last, which nothing reads any more."""
-    path = shared_dir(spark, "components")
-    df.write.parquet(path)
-    for old in paths[:-1]:
-        remove(spark, old)
-    return spark.read.schema(df.schema).parquet(path), [*paths[-1:], path]
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores behind it until no column of df has it."""
     taken = {c.lower() for c in df.columns}
