@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,11 +100,17 @@ def jaro_winkler_of(a: str, b: str, weight: float = 0.1) -> float:
     return base + same * weight * (1 - base)
 
 
-@F.pandas_udf("double")
-def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_of(x, y) for x, y in zip(a, b)], dtype="float64")
+def _pairwise(of: Callable[[str, str], float], a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else of(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return run(a, b)
+
+
+def jaro(a: Column, b: Column) -> Column:
+    return _pairwise(jaro_of, a, b)
 
 
-@F.pandas_udf("double")
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b)], dtype="float64")
+def jaro_winkler(a: Column, b: Column) -> Column:
+    return _pairwise(jaro_winkler_of, a, b)

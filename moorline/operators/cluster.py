@@ -16,7 +16,7 @@ LARGEST = 200_000
 
 def ref_text(ref: str) -> Column:
     """A record as text that sorts as source and key do."""
-    return F.concat(F.lpad(F.col(f"{ref}.source_id").cast("string"), 10, "0"), F.lit(":"), F.lpad((F.col(f"{ref}.key_hash").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0"))
+    return F.concat(F.lpad(F.col(f"{ref}.source_id").cast("string"), 10, "0"), F.lit(":"), F.lpad((F.col(f"{ref}.key_hash").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"))
 
 
 def transitive(scored: DataFrame, records: DataFrame) -> DataFrame:
