@@ -15,7 +15,7 @@ ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p, q = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((q - p) / 2), 2) + F.cos(p) * F.cos(q) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def _bits(precision: int) -> tuple[int, int]:
