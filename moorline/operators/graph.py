@@ -17,20 +17,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, paths = _stored(now, spark, [])
-    before = None
+    now, paths = _stored(now, spark, [], None)
+    before, parts = None, parts_for(now.count())
     for _ in range(max_rounds):
         # Large star: every node's larger neighbours point to its smallest neighbour (or itself).
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("low", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("low", "a")).coalesce(parts)
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b").distinct().coalesce(parts)
         # Small star: a node and its smaller neighbours point to the smallest of them.
         small = large.groupBy("a").agg(F.min("b").alias("low"))
         linked = large.join(small, "a")
         after = linked.select(F.col("b").alias("a"), F.col("low").alias("b")).union(linked.select("a", F.col("low").alias("b")))
         after = after.where("a <> b").distinct()
-        after, paths = _stored(after, spark, paths)
+        after, paths = _stored(after, spark, paths, parts)
         sign = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         now = after
         if sign == before:
@@ -41,10 +41,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _stored(df: DataFrame, spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+def parts_for(rows: int, each: int = 200_000) -> int:
+    """How many partitions so many small rows are worth."""
+    return max(1, -(-rows // each))
+
+
+def _stored(df: DataFrame, spark: SparkSession, paths: list[str], parts: int | None) -> tuple[DataFrame, list[str]]:
     """Writes df and drops the table before the last, which nothing reads any more."""
     path = shared_dir(spark, "components")
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     for old in paths[:-1]:
         remove(spark, old)
     return spark.read.schema(df.schema).parquet(path), [*paths[-1:], path]
