@@ -270,7 +270,7 @@ def brute_spans(text):
 def test_spans_against_brute_force(spark):
     own = random.Random(7)
     parts = ["a@b.c", "_d@e.f", "x.y%@z", "@", ".", "..", "-", "+", "+1 (559) 555-3817", "+12", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "007.08.9.10", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500005555555559", "0" * 30, " ", "é", "東京", "\n", "12", "a", "token = \"ab12cd34ef56ab12cd34ef56ab12cd34\"", "password=135299847ac0e0f0dc", "(212) 555-0188"]
-    texts = ["".join(own.choice(parts) for _ in range(own.randint(1, 14))) for _ in range(250)] + ["a" * 100_000 + "@", "1" * 100_000, None, "", "a@" + ".b" * 5000]
+    texts = ["".join(own.choice(parts) for _ in range(own.randint(1, 14))) for _ in range(250)] + ["a" * 3000 + "@", "1" * 3000, None, "", "a@" + ".b" * 2000]
     table = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s")], "doc_id bigint, text string, spans string")
     got = pii.report(table).collect()
     assert len(got) == len(texts) + 1
