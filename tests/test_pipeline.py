@@ -154,3 +154,27 @@ def test_publication(world):
     pinned = store.snapshot()
     resolve.publish(store, of)
     assert not pinned.has("provenance") and store.snapshot().table("entity_Port").count() == 5
+
+
+def test_service(world):
+    from moorline.api import Service, status_of
+
+    store, bundle, of = world
+    resolve.publish(store, of)
+    service = Service(store, bundle)
+    assert {t["name"] for t in service.ontology()["types"]} == {"Port", "Vessel", "Voyage"}
+    found = service.list_entities("Port", q="rott").collect()
+    assert [r.display for r in found] == ["Rotterdam (NLRTM)"]
+    one = found[0].entity_id
+    assert service.entity(one)["type"] == "Port" and {p["prop"] for p in service.entity(one)["provenance"]} >= {"name", "locode", "lat"}
+    assert service.links_of(one, "arrivals").where("reverse").count() == 10
+    assert service.lineage(one, "name").first().verified and service.raw(2, 1, 1).startswith("a\tRotterdam")
+    assert service.entity_of(2, "a").first().entity_id == one
+    assert service.explain({"start": {"type": "Port", "filter": {"locode": "NLRTM"}}})["index_used"] == "IDX"
+    assert service.traverse({"start": {"type": "Port", "ids": [one]}})["count"] == 1
+    assert service.stats()["entities"] == {"Port": 5, "Vessel": 2, "Voyage": 30} and service.health()["status"] == "ok"
+    assert service.by_value("Port", "locode").first().locode == "BEANR" and service.review().count() == of.scored.where("decision = 'review'").count()
+    for wrong, status in ((lambda: service.entity("none"), 404), (lambda: service.list_entities("Pier"), 400), (lambda: service.review(0), 400), (lambda: service.raw(9, 9, 9), 404)):
+        with pytest.raises(Exception) as e:  # noqa: PT011
+            wrong()
+        assert status_of(e.value) == status
