@@ -455,7 +455,7 @@ def test_pipeline_stages(spark, tmp_path):
     good = {i: prose(90, 300 + i) + "." for i in range(60)}
     bad = {100 + i: " ### ".join(prose(40, 400 + i).split()).upper() for i in range(40)}
     mark = prose(20, 999)
-    special = {200: good[0], 201: edited(good[1].rstrip("."), 45, 1) + ".", 202: good[2].replace(" ", " " + mark + " ", 1), 203: good[3].replace(" ", " a@b.co ", 1)}
+    special = {200: good[0], 201: edited(good[1].rstrip("."), 45, 1) + ".", 202: good[2].replace(" ", " " + mark + " ", 1), 203: prose(90, 777) + " a@b.co, so."}
     rows = [(i, t, "en", "s", len(t)) for i, t in {**good, **bad, **special}.items()]
     kind = T.StructType.fromDDL("doc_id bigint, text string, lang string, source string, n_chars bigint")
     spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/documents.parquet")
