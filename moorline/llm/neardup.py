@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moorline.operators.graph import parts_for
+
 from .common import components, materialise, tune
 
 BANDS, ROWS = 30, 5
 SKETCH_BITS = 512
 #: Pairs across components that are tested at once, as a multiple of the members of their buckets.
-LAST_ROUND = 3
+LAST_ROUND = 20
 MAX_STAR_ROUNDS = 12
 _SEED = np.random.default_rng(20240501)
 _A, _C = (_SEED.integers(0, 1 << 32, size=(BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -168,32 +170,38 @@ def _buckets(reps: DataFrame) -> DataFrame:
 def _rounds(docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Components of all classes that confirmed links join; None without links."""
     most = furthest(percent / 100)
-    sets = None
-    tested = links = component = None
+    sets = tested = links = component = None
+    active = members
     for turn in range(MAX_STAR_ROUNDS + 1):
-        now = members.withColumn("top", F.col("doc_id")) if component is None else members.join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("top"))
-        by_top = now.groupBy("bucket", "top").agg(F.count("*").alias("m"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("one"))
-        mixed = by_top.groupBy("bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("tops"), F.min_by(F.struct("one", "top"), F.xxhash64("one", F.lit(turn))).alias("star")).where("tops > 1")
+        now = active.withColumn("top", F.col("doc_id")) if component is None else active.join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("top"))
+        # First the same star for a group's buckets; then of each bucket a member of its own of the largest component.
+        lot = F.xxhash64("doc_id", F.lit(turn)) if turn == 0 else F.xxhash64("doc_id", "bucket", F.lit(turn))
+        by_top = now.groupBy("bucket", "top").agg(F.count("*").alias("m"), F.min(F.struct(lot.alias("lot"), F.col("doc_id").alias("one"))).alias("pick"))
+        star = F.min(F.struct((-F.col("m")).alias("m"), F.col("pick.lot").alias("lot"), F.col("pick.one").alias("one"), "top"))
+        mixed = by_top.groupBy("bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("tops"), star.alias("star")).where("tops > 1")
         mixed = materialise(mixed, "mixed")
         size = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
         if size[0] is None:
             break
+        parts = parts_for(size[0])
+        # Buckets within one component are done with; only the others' members go on.
+        active = materialise(now.join(mixed.select("bucket", "star.one", F.col("star.top").alias("other")), "bucket").coalesce(max(parts, 8)), "active")
         last = size[1] <= LAST_ROUND * size[0] or turn == MAX_STAR_ROUNDS
         if last:
-            # Few are left: every pair of a bucket across components, unless the sketches rule it out.
-            own = now.join(mixed.select("bucket"), "bucket").join(reps.select("doc_id", "sketch"), "doc_id")
-            x, y = (own.select("bucket", F.col("doc_id").alias(k), F.col("top").alias(f"top_{k}"), F.col("sketch").alias(s)) for k, s in (("a", "s"), ("b", "t")))
-            pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("top_a") != F.col("top_b")) & (_distance("s", "t") <= most)).select("a", "b").distinct()
+            # Few are left: every pair of a bucket across components, once, unless the sketches rule it out.
+            own = active.join(reps, "doc_id").select("bucket", "doc_id", "top", "sketch", "bands")
+            x, y = (own.select("bucket", F.col("doc_id").alias(k), F.col("top").alias(f"top_{k}"), F.col("sketch").alias(s), F.col("bands").alias(f"bands_{k}")) for k, s in (("a", "s"), ("b", "t")))
+            once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("bucket")
+            pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("top_a") != F.col("top_b")) & (_distance("s", "t") <= most) & once).select("a", "b").distinct()
         else:
-            star = now.join(mixed.select("bucket", "star.one", F.col("star.top").alias("other")), "bucket").where("top <> other")
-            pairs = _close(star.select(F.least("one", "doc_id").alias("a"), F.greatest("one", "doc_id").alias("b")).distinct(), reps, most)
+            apart = active.where("top <> other")
+            pairs = _close(apart.select(F.least("one", "doc_id").alias("a"), F.greatest("one", "doc_id").alias("b")).distinct(), reps, most)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         if sets is None:
-            sets = materialise(_sets(docs, members.select("doc_id").distinct(), words), "sets") if not last else None
-        own_sets = sets if sets is not None else _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
-        result = materialise(_confirm(pairs, own_sets, percent), "links")
+            sets = materialise(_sets(docs, active.select("doc_id").distinct(), words), "sets")
+        result = materialise(_confirm(pairs, sets, percent), "links")
         tested = result.select("a", "b") if tested is None else tested.union(result.select("a", "b"))
         fresh = result.where("linked").select("a", "b")
         links = fresh if links is None else links.union(fresh)
@@ -201,6 +209,7 @@ def _rounds(docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, pe
             component = materialise(components(links), "components")
         if last:
             break
+        active = active.select("bucket", "doc_id")
     return component
 
 
