@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from moorline.operators.graph import components
 from moorline.stage import materialise, remove, shared_dir, ship
 
-__all__ = ["append", "components", "free_name", "keep", "large_batches", "materialise", "open_fs", "remove", "shared_dir", "ship", "to_batch", "tune", "write_bytes"]
+from .tokens import release
+
+__all__ = ["append", "components", "free_name", "keep", "large_batches", "materialise", "open_fs", "release", "remove", "shared_dir", "ship", "to_batch", "tune", "write_bytes"]
 
 #: Rows and bytes of one Arrow batch handed to Python; both bound a worker's memory, however long texts are.
 BATCH_ROWS = 2000
@@ -91,6 +93,7 @@ def append(df: DataFrame, column: str, make, kind: str) -> tuple[DataFrame, str]
     arrow = to_arrow_type(made)
 
     def run(batches):
+        release()
         function = make() if getattr(make, "per_task", False) else make
         for batch in batches:
             at = batch.schema.names.index(column)

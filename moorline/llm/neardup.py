@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from moorline.operators.graph import parts_for
 
-from .common import components, materialise, tune
+from .common import components, materialise, release, tune
 
 BANDS, ROWS = 30, 5
 SKETCH_BITS = 512
@@ -90,6 +90,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, digest, bands, sketch of every row."""
 
     def run(batches):
+        release()
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
@@ -119,6 +120,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("of").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
     def run(batches):
+        release()
         for batch in batches:
             linked = []
             for x, y in zip(batch.column(2), batch.column(3)):

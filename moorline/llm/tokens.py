@@ -124,6 +124,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Frees this process's encoders and their caches: workers outlive a stage, and the next one needs the memory."""
+    _encoders.clear()
+
+
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file lies."""
     import public_tokenizers
