@@ -22,7 +22,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: A number up to 255 with any zeros before it, or zeros alone.
+_BYTE = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})|0++)"
 #: Looser generators of candidates for the trees, and text without which a generator needn't run.
 LOOSE = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?\((?:at|AT)\)\x20?|\x20?\[(?:at|AT)\]\x20?|\x20at\x20)[A-Za-z0-9-]{1,64}+(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]{1,64}+){1,5}+", r"(?i)\(at\)|\[at\]|\x20dot\x20"),

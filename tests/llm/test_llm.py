@@ -282,6 +282,18 @@ def test_spans_against_brute_force(spark):
     assert pii.report(table.limit(0)).count() == 0
 
 
+def test_addresses_with_parts_of_zeros(spark):
+    good = ["10.0.0.1", "0.0.0.0", "8.8.8.0", "192.168.0.1", "00.000.0.255", "1.2.3.000", "007.0.0255.10"]
+    bad = ["256.0.0.0", "0.0.0.0256", "0.0.0.1000", "0.0.0"]
+    texts = [f"from {x} on" for x in good + bad]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, text in enumerate(texts):
+        base = brute_spans(text)
+        assert got[i].n_ip == len(base) == (i < len(good)) and got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+    made = pii.redact(spark.createDataFrame([(1, "from 10.0.0.1 to 0.0.0.0")], "doc_id bigint, text string")).first()
+    assert made.text == "from [IP] to [IP]"
+
+
 def test_redaction_and_added_spans(spark):
     table = spark.createDataFrame([(1, "Call +1 (559) 555-3817 or a@b.co, éé token = \"ab12cd34ef56ab12cd34ef56ab12cd34ab12cd34\"", 5, "x"), (2, None, None, "x"), (3, "plain words, year 2024, nothing else", 9, "x"), (4, "commit 0123456789abcdef0123456789abcdef01234567", 1, "x")], "doc_id bigint, text string, n_chars bigint, pii_spans string")
     got = {r.doc_id: r for r in pii.redact(table).collect()}
