@@ -1,8 +1,8 @@
 """Main text of web pages: a conditional random field labels a page's leaf blocks as article or not.
 
 The whole html is read; elements are closed as browsers do for missing end tags. Scripts, styles, comments and other
-text that is never shown make no blocks. A null or empty html, and a page without blocks, has an empty text. Repeated
-rows each get their own text.
+text that is never shown make no blocks; what is no markup, as code, is skipped up to its end tag without being parsed.
+A null or empty html, and a page without blocks, has an empty text. Repeated rows each get their own text.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ PAGES = 500
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
 #: Elements whose content is no markup, or is never shown.
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object", "title", "select", "video", "audio", "canvas", "noembed", "xmp"}
+#: Of these, the elements whose content is plain text up to their end tag, and where that end tag is.
+_ENDS = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>]|\Z)", re.I) for name in ("script", "style", "noscript", "iframe", "textarea", "title", "noembed", "xmp")}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img input label button ruby rt rp nobr blink center-inline map".split())
 #: Elements that a start tag closes, if open in the same box; and the elements that are such boxes.
@@ -47,7 +49,10 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, str], ...], str, int
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page or ""):
+    page, at = page or "", 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         tag = m.group(2) or m.group(5)
         if tag is None:
             text = m.group()
@@ -58,6 +63,11 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, str], ...], str, int
             continue
         tag = tag.lower()
         closing = bool(m.group(1) or m.group(4))
+        if tag in _ENDS:
+            if not closing and not m.group().endswith("/>"):
+                end = _ENDS[tag].search(page, at)
+                at = end.start() if end else len(page)
+            continue
         if until is not None:
             if closing and tag == until:
                 until = None

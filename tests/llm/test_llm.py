@@ -155,6 +155,20 @@ def test_extraction(spark):
     assert html_extract.extract(table.limit(0)).count() == 0
 
 
+def test_code_is_no_markup():
+    article = "<article><h1>Title</h1><p>First part, long enough to be read, goes on.</p></article>"
+    expected = [b[1] for b in html_extract.blocks(article)]
+    assert expected == ["Title", "First part, long enough to be read, goes on."]
+    code = ["for(i=0;i<n;i++){f()}", "if(a<b.length)g('", 'x="<p>a', "<!-- old", "<![CDATA[", "a</scripts b", "</p>'"]
+    for c in code:
+        for raw in ("<script>{}</script>", "<SCRIPT type='a'>{}</Script\n>", "<style>{}</style >", "<textarea>{}</textarea>", "<svg><style>{}</style></svg>", "<template><p>no</p><script>{}</script></template>"):
+            assert [b[1] for b in html_extract.blocks(raw.format(c) + article)] == expected, (raw, c)
+    assert html_extract.blocks("<script>i<n" + article) == []
+    weights, moves = html_extract.fitted()
+    page = "<html><head>{}</head><body>" + article + "</body></html>"
+    assert html_extract.main_text(page.format("<script>for(i=0;i<n;i++){f()}</script>"), weights, moves) == html_extract.main_text(page.format(""), weights, moves)
+
+
 # Near duplicates --------------------------------------------------------------------------------------------------
 
 
