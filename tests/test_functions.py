@@ -56,6 +56,30 @@ def test_timestamps(spark):
     assert shown == "2026-04-01T10:20:30.500Z"
 
 
+#: The reference's maritime identities with their flag states, written down apart from the code's list.
+IDENTITIES = """201AL 202AD 203AT 204PT 205BE 206BY 207BG 208VA 209CY 210CY 211DE 212CY 213GE 214MD 215MT 216AM 218DE 219DK 220DK 224ES 225ES
+226FR 227FR 228FR 229MT 230FI 231FO 232GB 233GB 234GB 235GB 236GI 237GR 238HR 239GR 240GR 241GR 242MA 243HU 244NL 245NL 246NL
+247IT 248MT 249MT 250IE 251IS 252LI 253LU 254MC 255PT 256MT 257NO 258NO 259NO 261PL 262ME 263PT 264RO 265SE 266SE 267SK 268SM
+269CH 270CZ 271TR 272UA 273RU 274MK 275LV 276EE 277LT 278SI 279RS 301AI 303US 304AG 305AG 306CW 307AW 308BS 309BS 310BM 311BS
+312BZ 314BB 316CA 319KY 321CR 323CU 325DM 327DO 329GP 330GD 331GL 332GT 334HN 336HT 338US 339JM 341KN 343LC 345MX 347MQ 348MS
+350NI 351PA 352PA 353PA 354PA 355PA 356PA 357PA 358PR 359SV 361PM 362TT 364TC 366US 367US 368US 369US 370PA 371PA 372PA 373PA
+374PA 375VC 376VC 377VC 378VG 379VI 401AF 403SA 405BD 408BH 410BT 412CN 413CN 414CN 416TW 417LK 419IN 422IR 423AZ 425IQ 428IL
+431JP 432JP 434TM 436KZ 437UZ 438JO 440KR 441KR 443PS 445KP 447KW 450LB 451KG 453MO 455MV 457MN 459NP 461OM 463PK 466QA 468SY
+470AE 471AE 472TJ 473YE 475YE 477HK 478BA 501TF 503AU 506MM 508BN 510FM 511PW 512NZ 514KH 515KH 516CX 518CK 520FJ 523CC 525ID
+529KI 531LA 533MY 536MP 538MH 540NC 542NU 544NR 546PF 548PH 553PG 555PN 557SB 559AS 561WS 563SG 564SG 565SG 566SG 567TH 570TO
+572TV 574VN 576VU 577VU 578WF 601ZA 603AO 605DZ 607TF 608SH 609BI 610BJ 611BW 612CF 613CM 615CG 616KM 617CV 618TF 619CI 620KM
+621DJ 622EG 624ET 625ER 626GA 627GH 629GM 630GW 631GQ 632GN 633BF 634KE 635TF 636LR 637LR 638SS 642LY 644LS 645MU 647MG 649ML
+650MZ 654MR 655MW 656NE 657NG 659NA 660RE 661RW 662SD 663SN 664SC 665SH 666SO 667SL 668ST 669SZ 670TD 671TG 672TN 674TZ 675UG
+676CD 677TZ 678ZM 679ZW 701AR 710BR 720BO 725CL 730CO 735EC 740FK 745GF 750GY 755PY 760PE 765SR 770UY 775VE"""
+
+
+def test_flags_of_all_identities(spark):
+    expected = {x[:3]: x[3:] for x in IDENTITIES.split()}
+    assert len(expected) == 291 and (expected["403"], expected["470"], expected["525"], expected["574"]) == ("SA", "AE", "ID", "VN")
+    cells = [f"{i:03d}" for i in range(1000)]
+    assert values(spark, ["mid_to_country"], [f"{c}123456" for c in cells]) == [expected.get(c) for c in cells]
+
+
 def test_coordinates_imo_flags(spark):
     assert values(spark, ["ddmm_to_decimal_lat"], ["5155N 00429E", "5160N 00429E", "5155N", "x y z"]) == [pytest.approx(51.916666), None, pytest.approx(51.916666), None]
     assert values(spark, ["ddmm_to_decimal_lon"], ["5155N 00429W", "5155N"]) == [pytest.approx(-4.483333), None]
