@@ -12,6 +12,7 @@ equal texts. Equal texts have equal fingerprints. Documents are ordered by doc_i
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -28,23 +29,26 @@ from .decontaminate import words
 RAREST, COMMONEST = 0.002, 0.25
 #: How many lexicons keep a term with which chance.
 LEXICONS = [(4, 2), (8, 8), (16, 32), (24, 128), (24, 512)]
-#: Distinct terms that a task counts before it emits; candidate terms that a task may hold.
+#: Distinct terms that a task counts before it emits; candidate terms that a task may hold, more are counted by a shuffle.
 COUNTED, HELD = 300_000, 3_000_000
 #: Characters of the documents of one task when neighbours meet.
 TASK_CHARS = 16_000_000
 
 
 def _counts(docs: DataFrame, keep: frozenset | None, share: float) -> DataFrame:
-    """term, n of each task's documents: without keep only terms of at least that share of them, else exact counts of keep's terms."""
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64()), ("chars", pa.int64())])
+    """term, n of each task's documents: without keep only terms of at least that share of them, else exact counts of keep's terms.
+
+    silent is how many of the block's documents a term may be in that the block doesn't tell of."""
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("silent", pa.int64()), ("docs", pa.int64()), ("chars", pa.int64())])
 
     def rows(batches):
         count, docs, chars = Counter(), 0, 0
 
         def flush():
             least = share * docs
-            yield from ((t.decode(), n, 0, 0) for t, n in count.items() if keep is not None or n >= least)
-            yield None, 0, docs, chars
+            silent = max(0, math.ceil(least) - 1)
+            yield from ((t.decode(), n, silent, 0, 0) for t, n in count.items() if keep is not None or n >= least)
+            yield None, 0, silent, docs, chars
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -58,17 +62,18 @@ def _counts(docs: DataFrame, keep: frozenset | None, share: float) -> DataFrame:
                 count, docs, chars = Counter(), 0, 0
         yield from flush()
 
-    return docs.select("text").mapInArrow(lambda batches: large_batches(rows(batches), schema), "term string, n bigint, docs bigint, chars bigint")
+    return docs.select("text").mapInArrow(lambda batches: large_batches(rows(batches), schema), "term string, n bigint, silent bigint, docs bigint, chars bigint")
 
 
 def lexicon(docs: DataFrame) -> tuple[list[bytes], int, int]:
     """The terms of the band, and how many documents and characters there are; every document is counted."""
-    blocks = materialise(_counts(docs, None, RAREST).groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("chars").alias("chars")), "candidates")
-    total = blocks.agg(F.sum("docs"), F.sum("chars"), F.count("term")).first()
-    n, chars, found = (x or 0 for x in total)
-    if found > HELD:
-        raise RuntimeError(f"{found} candidate terms exceed HELD; raise RAREST or the size of input partitions")
-    keep = frozenset(r.term.encode() for r in blocks.where("term is not null").select("term").collect())
+    sums = [F.sum(c).alias(c) for c in ("n", "silent", "docs", "chars")]
+    blocks = materialise(_counts(docs, None, RAREST).groupBy("term").agg(*sums), "candidates")
+    n, chars, silent = (x or 0 for x in blocks.agg(F.sum("docs"), F.sum("chars"), F.sum(F.when(F.col("term").isNull(), F.col("silent")))).first())
+    # A term's documents are those counted and at most what the blocks without word of it are silent about.
+    likely = blocks.where(F.col("term").isNotNull() & (F.col("n") + silent - F.col("silent") >= RAREST * n)).select("term")
+    # More than a task may hold: no term is left out, all blocks' counts meet by term.
+    keep = frozenset(r.term.encode() for r in likely.collect()) if likely.count() <= HELD else None
     exact = _counts(docs, keep, 0.0).where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
     return sorted(r.term.encode() for r in exact.where(F.col("n").between(RAREST * n, COMMONEST * n)).collect()), n, chars
 

@@ -464,6 +464,19 @@ def test_lexicon_is_the_band(spark, monkeypatch):
     assert terms == [b"some"] and n == 100
 
 
+@pytest.mark.parametrize(("parts", "counted", "held"), [(40, 300_000, 12), (1, 30, 0), (3, 30, 0), (3, 80, 3), (3, 80, 3_000_000)])
+def test_lexicon_with_more_candidates_than_held(spark, monkeypatch, parts, counted, held):
+    own = random.Random(3)
+    texts = [" ".join({f"u{i}", f"v{i}", *(f"w{k}" for k in range(1, 40) if own.random() < 1 / k)}) for i in range(200)]
+    count = collections.Counter(w for t in texts for w in t.split(" "))
+    expected = sorted(w.encode() for w, k in count.items() if 0.1 * 200 <= k <= 0.25 * 200)
+    monkeypatch.setattr(imatch, "RAREST", 0.1)
+    monkeypatch.setattr(imatch, "COUNTED", counted)
+    monkeypatch.setattr(imatch, "HELD", held)
+    terms, n, chars = imatch.lexicon(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(parts))
+    assert expected and terms == expected and (n, chars) == (200, sum(map(len, texts)))
+
+
 def test_likeness_grows_with_common_terms():
     terms = [f"t{i}".encode() for i in range(600)]
     printer = imatch.Printer(terms)
