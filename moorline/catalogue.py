@@ -481,7 +481,7 @@ def vessel_scores(spark, sf_dir):
     ship(spark)
     s = table(spark, sf_dir, "supplier")
     records = s.select(F.lit(1).alias("source_id"), F.col("s_suppkey").alias("key_hash"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.lpad((F.col("s_suppkey") / 4).cast("int").cast("string"), 7, "9")).alias("imo"), F.col("s_nationkey").cast("string").alias("mmsi"), F.lit(None).cast("string").alias("call_sign"), F.col("s_nationkey").cast("string").alias("flag"))
-    keys = blocking.blocking_keys(records, "Vessel").where("generator in ('imo_exact', 'mmsi_exact')")
+    keys = blocking.blocking_keys(records, "Vessel")
     scored = scoring.score_pairs(blocking.candidate_pairs(keys), records, "Vessel")
     return scored.select(F.col("a.key_hash").alias("a"), F.col("b.key_hash").alias("b"), F.round("score", 6).alias("score"), "decision", "vetoed", scoring.explanation().alias("explanation"))
 

@@ -178,3 +178,12 @@ def test_service(world):
         with pytest.raises(Exception) as e:  # noqa: PT011
             wrong()
         assert status_of(e.value) == status
+
+
+def test_vessel_scores_use_all_generators(spark, tmp_path):
+    from moorline import catalogue
+
+    rows = [(1, "Nova Star", 1), (3, "Nova Star", 2), (5, "Quick Whale", 3)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_nationkey bigint").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = catalogue.QUERIES["vessel_scores"](spark, str(tmp_path)).collect()
+    assert [(r.a, r.b) for r in got] == [(1, 3)]
