@@ -46,7 +46,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*stages: DataFrame) -> None:
+    """Deletes tables that materialise has written, once nothing that is still to be computed reads them."""
+    for s in stages:
+        remove(s.sparkSession, s.stage_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
