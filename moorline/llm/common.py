@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorline.operators.graph import components
-from moorline.stage import materialise, remove, shared_dir, ship
+from moorline.stage import discard, materialise, remove, shared_dir, ship
 
 from .tokens import release
 
-__all__ = ["append", "components", "free_name", "keep", "large_batches", "materialise", "open_fs", "release", "remove", "shared_dir", "ship", "to_batch", "tune", "write_bytes"]
+__all__ = ["append", "components", "discard", "free_name", "keep", "large_batches", "materialise", "open_fs", "release", "remove", "shared_dir", "ship", "to_batch", "tune", "write_bytes"]
 
 #: Rows and bytes of one Arrow batch handed to Python; both bound a worker's memory, however long texts are.
 BATCH_ROWS = 2000

@@ -215,19 +215,44 @@ def test_near_duplicates_of_odd_rows(spark, docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    other, third = prose(120, 51), prose(90, 52)
+    rows = [(1, BASE), (1, other), (2, edited(BASE, 40, 1)), (3, edited(other, 40, 2)), (4, third), (1, BASE), (9, edited(third, 50, 3))]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (9, 4)}
+
+
+def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch):
+    """Chains of edits that leave a group's ends apart: links that no hub shows, over several blocks and streams."""
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    monkeypatch.setattr(neardup, "STREAM", 30)
+    rows, now = [], prose(150, 60)
+    for k in range(90):
+        rows.append((k, now))
+        now = edited(now, 31 if k % 7 else 14, 61 + k)
+    base = prose(100, 70)
+    rows += [(1000 + k, edited(base, 8 + k % 5, 300 + k)) for k in range(90)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for words in (2, 5):
+        _, top = brute_components(rows, words, 80)
+        assert len({t for t in top.values()}) > 3
+        assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(table, words, 80).collect()} == set(top.items())
+
+
 def test_sketches_estimate_similarity():
     own = np.random.default_rng(2)
     for share in (0.8, 0.9, 0.97):
-        n = 2000
-        both = own.integers(0, 1 << 63, size=int(n * share), dtype=np.uint64)
-        gaps = []
-        for _ in range(12):
-            a, b = (np.unique(np.concatenate([both, own.integers(0, 1 << 63, size=(n - len(both)) // 2, dtype=np.uint64)])) for _ in range(2))
-            x, y = (np.array(neardup.signature(s)[2], dtype=np.int64).view(np.uint64) for s in (a, b))
-            distance = sum(int(v).bit_count() for v in x ^ y)
-            gaps.append(neardup.estimate(distance) - share)
-            assert distance <= neardup.furthest(0.8)
-        assert abs(np.mean(gaps)) < 0.04
+        for n in (30, 300, 2000, 20_000):
+            both = own.integers(0, 1 << 63, size=int(n * share), dtype=np.uint64) * 2
+            alone = (n - len(both)) // 2
+            gaps = []
+            for _ in range(12):
+                a, b = (np.unique(np.concatenate([both, own.integers(0, 1 << 63, size=alone, dtype=np.uint64) * 2 + 1])) for _ in range(2))
+                x, y = (np.frombuffer(neardup.signature(s)[2], dtype=np.uint64) for s in (a, b))
+                count, total = int(np.bitwise_count(x ^ y).sum()), len(a) + len(b)
+                gaps.append(neardup.estimate(count, total) - len(both) / (len(both) + 2 * alone))
+                assert count <= neardup.furthest(total, 0.8)
+            assert abs(np.mean(gaps)) < 0.015
 
 
 # WARC -------------------------------------------------------------------------------------------------------------
