@@ -15,10 +15,14 @@ import numpy as np
 #: Kinds in the order of results; the first four have exact base patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Labelled candidates, half to fit and half to calibrate; trees, depth, learning rate.
-SAMPLES, TREES, DEPTH, RATE = 6000, 30, 3, 0.3
+SAMPLES, TREES, DEPTH, RATE = 7000, 30, 3, 0.3
+#: Formats of candidates; each is met as often as the others in either half.
+MAKERS = 36
 #: Share of true ones among what a threshold lets through, on the calibration half.
 PRECISION = 0.99
-FEATURES = ("length", "digits", "letters", "marks", "groups", "luhn", "variety", "cases", "hex", "sign", "phone_word", "secret_word", "mail_word", "card_word", "ip_word", "other_word", "kind")
+FEATURES = ("length", "digits", "letters", "marks", "groups", "luhn", "variety", "cases", "hex", "sign", "phone_word", "secret_word", "mail_word", "card_word", "ip_word", "other_word", "kind", "zero", "domain")
+#: Shapes: a number that begins with a zero, and an end as mail hosts have it.
+ZERO, DOMAIN = r"^\(?0", r"(?i)(\.|\x20dot\x20)(com|org|net|edu|gov|info|io|de|fr|uk|es|it|nl|eu|example)$"
 #: Words before a span that speak for a kind, or for another meaning. They are matched in lower case.
 CONTEXT = {
     "phone_word": r"(phone|tel|call|mobile|fax|whatsapp|sms)[^a-z]*[a-z]{0,8}[^a-z]*$",
@@ -55,6 +59,8 @@ def describe(kind: str, text: str, before: str) -> list[float]:
         float(text[:1] in ("+", "(")),
         *[float(bool(re.search(CONTEXT[c], before))) for c in FEATURES[10:16]],
         float(KINDS.index(kind)),
+        float(bool(re.search(ZERO, text))),
+        float(bool(re.search(DOMAIN, text))),
     ]
 
 
@@ -89,9 +95,12 @@ def _candidates(rng: random.Random, n: int) -> list[tuple[str, str, str, bool]]:
         lambda: ("email", f"{word()} (at) {word()}.{rng.choice(['com', 'org', 'net'])}", filler(), True),
         lambda: ("email", f"{word()}{digits(2)} [at] {word()}.org", filler(), True),
         lambda: ("email", f"{word()} at {word()} dot {word()}", filler(), False),
+        lambda: ("email", f"{word()} at {word()}.{rng.choice(['com', 'org', 'net', 'de', 'io'])}", rng.choice([filler(), near("mail", "contact", "write")]), True),
+        lambda: ("email", f"{word()} at {word()}.{word().capitalize()}", filler(), False),
         lambda: ("ip", ":".join(token(4) for _ in range(8)), filler(), True),
         lambda: ("ip", ":".join(token(rng.randint(1, 4)) for _ in range(rng.randint(5, 8))), near("ip", "host", "server"), True),
         lambda: ("ip", ":".join(digits(2) for _ in range(rng.randint(4, 5))), filler(), False),
+        lambda: ("ip", ":".join(token(rng.randint(1, 2)) for _ in range(rng.randint(9, 14))), filler(), False),
         lambda: ("card", card().replace("-", ".") if rng.random() < 0.5 else card(), near("card", "visa", "credit"), True),
         lambda: ("card", digits(16), near("order", "invoice", "serial", "id"), False),
         lambda: ("card", digits(rng.randint(13, 19)), filler(), False),
@@ -99,6 +108,9 @@ def _candidates(rng: random.Random, n: int) -> list[tuple[str, str, str, bool]]:
         lambda: ("phone", rng.choice([" ", "-", "."]).join([digits(3), digits(3), digits(4)]), near("phone", "call", "tel", "mobile"), True),
         lambda: ("phone", rng.choice([" ", "-"]).join([digits(3), digits(3), digits(4)]), filler(), True),
         lambda: ("phone", "0" + digits(9), near("phone", "call", "tel", "fax"), True),
+        lambda: ("phone", rng.choice([" ", "."]).join(["0" + digits(1), *[digits(2) for _ in range(4)]]), rng.choice([filler(), near("phone", "call", "tel")]), True),
+        lambda: ("phone", " ".join(rng.choice("123456789") + digits(1) for _ in range(rng.randint(4, 6))), filler(), False),
+        lambda: ("phone", " ".join(digits(rng.choice([1, 3, 4])) for _ in range(rng.randint(3, 5))), filler(), False),
         lambda: ("phone", digits(10), near("order", "invoice", "id", "isbn"), False),
         lambda: ("phone", digits(rng.randint(7, 12)), filler(), False),
         lambda: ("phone", f"{digits(4)}-{digits(2)}-{digits(2)}", filler(), False),
@@ -108,13 +120,16 @@ def _candidates(rng: random.Random, n: int) -> list[tuple[str, str, str, bool]]:
         lambda: ("secret", token(rng.choice([16, 18, 20, 32, 40, 64])), near("token", "secret", "key") + rng.choice(["", '= "', '"']), True),
         lambda: ("secret", token(rng.choice([16, 18, 20, 24])), filler() + rng.choice(["password=", "passwd: ", "pwd=", "password = "]), True),
         lambda: ("secret", token(rng.choice([20, 32, 40]), base64), near("token", "api key", "auth", "bearer", "secret"), True),
+        lambda: ("secret", token(rng.randint(100, 900), base64), near("token", "api key", "secret") + rng.choice(["", '"']), True),
+        lambda: ("secret", "/".join(word() for _ in range(rng.randint(4, 40))), filler(), False),
         lambda: ("secret", token(40), near("commit", "sha", "checksum", "digest"), False),
         lambda: ("secret", token(rng.choice([32, 40, 64])), filler(), False),
         lambda: ("secret", word() + word() + word() + word(), filler(), False),
         lambda: ("secret", word() + word() + word() + word(), near("key", "token", "auth"), False),
         lambda: ("secret", digits(rng.randint(16, 30)), near("order", "id", "serial"), False),
     ]
-    return [makers[i % len(makers)]() for i in range(n)]
+    assert len(makers) == MAKERS
+    return [makers[i % MAKERS]() for i in range(n)]
 
 
 def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int) -> Node:
@@ -148,7 +163,7 @@ def fitted() -> tuple[tuple[Node, ...], dict[str, float]]:
     rows = _candidates(random.Random(11), SAMPLES)
     x = np.array([describe(k, t, b) for k, t, b, _ in rows])
     y = np.array([float(p) for *_, p in rows])
-    half = np.arange(len(rows)) // 28 % 2 == 0
+    half = np.arange(len(rows)) // MAKERS % 2 == 0
     trees, margin = [], np.zeros(len(rows))
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))

@@ -5,12 +5,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from moorline.llm import chat, decontaminate, html_crf, html_extract, imatch, neardup, packing, pii, pii_model, quality, tokenfile, tokens, warc
 
@@ -131,9 +133,9 @@ def test_decontamination_report(spark, docs, none):
 
 def test_field_on_unseen_pages():
     weights, moves = html_extract.fitted()
-    pages = html_crf.labelled_pages(120, seed=99)
+    pages = html_crf.labelled_pages(300, seed=99)
     right = sum(html_extract.main_text(p, weights, moves) == " ".join(" ".join(k.split()) for k in kept) for p, kept in pages)
-    assert right / len(pages) > 0.85
+    assert right / len(pages) > 0.97
 
 
 def test_viterbi_is_the_best_path():
@@ -155,6 +157,37 @@ def test_extraction(spark):
     assert html_extract.extract(table.limit(0)).count() == 0
 
 
+TALK = "Some people walked along the river in the evening, and they talked about the weather. It was late."
+HEAD = "<head><title>No</title><meta charset=utf-8></head>"
+#: Pages written by hand, and their articles.
+HAND = [
+    (f"<div><p>{TALK}</p><p>{TALK}</p></div>", [TALK, TALK]),
+    (f"<div class='foo'><p>{TALK}</p><p>{TALK}</p><p>{TALK}</p></div>", [TALK] * 3),
+    (f"<nav><a href=/>Home</a> <a href=/b>About us</a></nav><p>{TALK}</p><p>{TALK}</p><footer>&copy; x 2020</footer>", [TALK, TALK]),
+    (TALK, [TALK]),
+    (f"<html>{HEAD}<body><h1>Evening on the river</h1><p>{TALK}</p><ul><li>one thing to see</li><li>another thing</li></ul><p>{TALK}</p></body></html>", ["Evening on the river", TALK, "one thing to see", "another thing", TALK]),
+    (f"<html>{HEAD}<body><div id=header><h2>Site</h2></div><div id=wrap><div><h1>On rivers</h1><p>{TALK}</p></div><div class=sidebar><h3>More</h3><p>{TALK}</p></div></div><div id=comments><p>{TALK}</p></div></body></html>", ["On rivers", TALK]),
+    (f"<body><header><p>Daily news for all</p></header><main><article class=post><h2>Rivers</h2><p>{TALK}<p>{TALK}<aside><p>{TALK}</p></aside></article><section class=comments><h3>Two replies</h3><div class=comment><p>{TALK}</p></div></section></main>", ["Rivers", TALK, TALK]),
+    (f"<article><p>{TALK} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><object><p>{TALK}</p></object></article>", [TALK + " x=2", TALK]),
+    (f"<article><p>{TALK}</p><svg viewBox='0 0'><path d='M0'><text>no</text><p>{TALK}</p></article>", [TALK, TALK]),
+    (f"<article><p>{TALK}</p><div><select><option>one<option>two</div><p>{TALK}</p></article>", [TALK, TALK]),
+    (f"<article><div><template><div>no</div>nor this</div><p>{TALK}</p><video src=x><p>old browser</p></video></article>", [TALK]),
+    (f"<article><p>{TALK}</p><canvas>no<p>{TALK}</canvas><p>{TALK}</p></article>", [TALK, TALK]),
+]
+
+
+def test_pages_written_by_hand():
+    weights, moves = html_extract.fitted()
+    for page, parts in HAND:
+        assert html_extract.main_text(page, weights, moves) == " ".join(parts), page
+
+
+def test_a_very_long_page():
+    weights, moves = html_extract.fitted()
+    page = f"<body><nav><a href=/>Home</a></nav><article>{f'<p>{TALK}</p>' * 8000}</article><footer>&copy; x</footer>" + "<div>" * 3000
+    assert html_extract.main_text(page, weights, moves) == " ".join([TALK] * 8000)
+
+
 def test_code_is_no_markup():
     article = "<article><h1>Title</h1><p>First part, long enough to be read, goes on.</p></article>"
     expected = [b[1] for b in html_extract.blocks(article)]
@@ -321,6 +354,54 @@ def test_spans_against_brute_force(spark):
     assert pii.report(table.limit(0)).count() == 0
 
 
+def brute_added(text):
+    """The spans that the trees add, by a plain search of all candidates."""
+    text = text or ""
+    base = [tuple(int(x) for x in s.split(":")[1:]) for s in brute_spans(text)]
+    trees, thresholds = pii_model.fitted()
+    scored = []
+    for kind, pattern in pii.LOOSE.items():
+        for m in re.finditer(pattern, text):
+            digits = sum(c in "0123456789" for c in m[0])
+            if kind in pii.DIGITS and not pii.DIGITS[kind][0] <= digits <= pii.DIGITS[kind][1] or any(a < m.end() and m.start() < b for a, b in base):
+                continue
+            x = np.array(pii_model.describe(kind, m[0], text[max(0, m.start() - pii.BEFORE) : m.start()]))
+            score = sum(pii_model.value(t, x) for t in trees)
+            if score >= thresholds[kind]:
+                scored.append((m.start(), -score, kind, pii_model.KINDS.index(kind), m.end()))
+    kept = []
+    for x in sorted(scored):
+        if kept and x[0] < kept[-1][4]:
+            if x[1] < kept[-1][1]:
+                kept[-1] = x
+        else:
+            kept.append(x)
+    return [f"{k}:{a}:{b}" for a, _, k, _, b in kept]
+
+
+def test_all_spans_against_brute_force(spark):
+    own = random.Random(17)
+    parts = ["0.1.2.3", "10.0.0.0", "a@b.c", "+1 (559) 555-3817", "01 23 45 67 89", "06.12.34.56.78", "call ", "joe at example.com", "x (at) y.org", "meet at noon.", "(212) 555-0188", "212-555-0188", "order 2125550188", "12 30", "1999-2004", "fe80:0:0:1:2:3:4:5", "token = ", "ab12cd34ef56ab12cd34ef56ab12cd34", "Zz9" * 700, " ", ", ", "é東京 ", "/usr/lib/python/site-packages/x", "card 4111.1111.1111.1111", "4111 1111 1111 1111"]
+    texts = ["".join(own.choice(parts) for _ in range(own.randint(1, 12))) for _ in range(200)] + parts + ["say joe at example.com now", " ".join("call 555 1234567, " for _ in range(400)), " ".join(f"mail a{k}@b.co or 212-555-0{k:03} " for k in range(300))]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    by = lambda s: (pii_model.KINDS.index(s.split(":")[0]), int(s.split(":")[1]))
+    for i, text in enumerate(texts):
+        assert got[i] == ",".join(sorted(brute_spans(text) + brute_added(text), key=by)), text[:200]
+    alone = {texts[i]: s for i, s in got.items()}
+    assert alone["01 23 45 67 89"] == "phone:0:14" and alone["joe at example.com"] == "email:0:18" and alone["meet at noon."] == ""
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "call 212-555-0188 or a@b.co; " * 25_000
+    table = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.perf_counter()
+    got = pii.report(table).first()
+    assert got.n_email == 25_000 and got.spans.count("phone") == 25_000
+    made = pii.redact(table).first().text
+    assert made == "call [PHONE] or [EMAIL]; " * 25_000
+    assert time.perf_counter() - began < 240  # the square of the matches would take many times that
+
+
 def test_addresses_with_parts_of_zeros(spark):
     good = ["10.0.0.1", "0.0.0.0", "8.8.8.0", "192.168.0.1", "00.000.0.255", "1.2.3.000", "007.0.0255.10"]
     bad = ["256.0.0.0", "0.0.0.0256", "0.0.0.1000", "0.0.0"]
@@ -347,7 +428,7 @@ def test_sql_features_equal_the_models(spark):
     features = pii._features({"match": F.col("match"), "rank": F.col("rank")}, F.col("before"))
     row = F.struct(*[features[n].alias(n) for n in pii_model.FEATURES])
     trees, _ = pii_model.fitted()
-    for r in table.select("i", row.alias("row")).withColumn("score", pii._score(F.col("row"))).collect():
+    for r in table.select("i", row.alias("row")).withColumn("score", F.expr(pii.score_sql("row"))).collect():
         expected = pii_model.describe(*rows[r.i])
         assert list(r.row) == pytest.approx(expected)
         assert r.score == pytest.approx(sum(pii_model.value(t, np.array(expected)) for t in trees))
@@ -360,17 +441,19 @@ def test_sql_features_equal_the_models(spark):
 def test_cached_encoder_equals_the_library(name, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 500)
     own = tokens.Encoder(tokens.vocabulary(name))
-    odd = [None, "", " ", "a  b", "\n\n x\t y ", "it's  <|endoftext|> ok\r\n", "a  b", "x　y", "\x1c a", "é éx ́ ΑΣ Σ", "...\n..", "don't 've 12345 \n", "A.b,,c !!\nD", "x" * 300]
+    library = Tokenizer.from_file(tokens.vocabulary(name))
+    assert own.known
+    odd = [None, "", " ", "a  b", "<|endoftext|>", "<|startoftext|> a <|endoftext|><|ENDOFTEXT|>b<|endoftext", "\n\n x\t y ", "it's  <|endoftext|> ok\r\n", "a  b", "x　y", "\x1c a", "é éx ́ ΑΣ Σ", "...\n..", "don't 've 12345 \n", "A.b,,c !!\nD", "x" * 300]
     alphabet = ["a", "B", "é", " ", "\n", ".", ",,", "'s", "1", "\t", " ", "ß", "語", "!!\n"]
     r = random.Random(2)
     for text in odd + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 25))) for _ in range(1500)] + [prose(3000, 8)]:
-        expected = own.library.encode(text or "", add_special_tokens=False).ids
+        expected = library.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(own.ids(text), "<u4").tolist() == expected, repr(text)
 
 
 def test_packing(spark, docs, none, monkeypatch):
     monkeypatch.setattr(packing, "NEARLY", 0)
-    library = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json")).library
+    library = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
     whole = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in ODD}
     got = packing.pack(docs, with_ids=True).collect()
     of = collections.defaultdict(list)
@@ -414,7 +497,7 @@ def test_best_fit():
 
 
 def test_token_files(spark, docs, none, monkeypatch):
-    library = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json")).library
+    library = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
     got = sorted(tokenfile.round_trip(docs).collect(), key=lambda r: r.start)
     at = 0
     for r, (i, t) in zip(got, sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))):
@@ -456,15 +539,53 @@ def test_chat(spark):
         loss = "".join(text for *_, role, text in own if role == "assistant")
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    formatted = chat.format_turns(table)
-    texts = {(r.conv_id, r.example): (r.context, r.target) for r in chat.expand(formatted).collect()}
-    assert len(texts) == chat.examples(formatted).count() == 4
-    assert chat.unescape(texts[(1, 0)][1]) == hard and texts[(1, 0)][0].endswith("assistant[INST]") and texts[(1, 1)][1] == ""
+    expanded = chat.expand(chat.format_turns(table))
+    texts = {(r.conv_id, r.example): (r.context, r.target) for r in chat.contexts(expanded).collect()}
+    told = {(r.conv_id, r.example): r for r in chat.examples(expanded).collect()}
+    assert len(texts) == len(told) == 4
+    # Every context against a plain version: all turns before the reply, formatted, and the reply's own opening.
+    for conv in {r[0] for r in rows}:
+        before, k = "", 0
+        for _, _, role, text in sorted((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv):
+            if role == "assistant":
+                context = before + "<s>assistant[INST]"
+                assert texts[(conv, k)] == (context, chat.escape(text)) and told[(conv, k)].context_sha256 == hashlib.sha256(context.encode()).hexdigest()
+                assert (told[(conv, k)].context_chars, told[(conv, k)].target_end) == (len(context), len(context) + len(chat.escape(text)))
+                k += 1
+            before += chat.TURN.format(role=chat.escape(role), text=chat.escape(text))
     assert all(chat.unescape(chat.escape(t)) == t for t in (hard, "", "\\", "[/INST]\\"))
     assert not re.search(r"</?s>|\[/?INST\]|<</?SYS>>", chat.escape(hard))
     assert chat.round_trip(table.limit(0)).count() == 0
 
 
+def test_chat_is_parted_by_control_strings_alone():
+    own = random.Random(4)
+    parts = ["</s>", "[INST]", "[/INST]</s>", "<s>", "\\", "a", "[/INST", "]", "<", "/s>", "é", "\n"]
+    turns = [(own.choice(["user", "assistant", "x[INST]"]), "".join(own.choice(parts) for _ in range(own.randint(0, 12)))) for _ in range(300)]
+    whole = "".join(chat.TURN.format(role=chat.escape(r), text=chat.escape(t)) for r, t in turns)
+    for longest in (1, 7, 100, len(whole)):
+        parser, got, at = chat.Parser(), [], 0
+        while at < len(whole):
+            n = own.randint(1, longest)
+            got += [(role, chat.unescape(text)) for role, text, start in parser.feed(whole[at : at + n]) if whole.startswith(text, start)]
+            at += n
+        parser.close()
+        assert got == turns
+    with pytest.raises(ValueError):
+        list(chat.Parser().feed("<s>user" + chat.END))
+    cut = chat.Parser()
+    list(cut.feed(whole[:-3]))
+    with pytest.raises(ValueError):
+        cut.close()
+
+
+def test_a_long_conversation(spark):
+    n = 4000
+    rows = [(8, k, "assistant" if k % 2 else "user", f"turn {k} [INST]" * (k % 5)) for k in range(n)]
+    r = chat.round_trip(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)).first()
+    assert r.n_turns == n and r.n_examples == n // 2 and r.loss_sha256 == hashlib.sha256("".join(t for *_, role, t in rows if role == "assistant").encode()).hexdigest()
+
+
 def test_fingerprints(spark, docs, none, monkeypatch):
     monkeypatch.setattr(imatch, "TASK_CHARS", 40_000)
     got = imatch.report(docs).collect()
