@@ -7,6 +7,7 @@ pre-tokens, which the library's model encodes without the other steps; the whole
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -34,6 +35,19 @@ def _visible_bytes() -> dict[int, str]:
 _VISIBLE = _visible_bytes()
 
 
+def _known(file: dict) -> bool:
+    """Whether a vocabulary file's steps are those that the cuts below are right for; other files' texts go to the library whole."""
+    normalizer, cutter = file["normalizer"], file["pre_tokenizer"] or {}
+    exact = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"])
+    if file["model"]["type"] != "BPE" or file["post_processor"] is not None or not exact:
+        return False
+    if normalizer is None:
+        return cutter.get("type") == "ByteLevel" and not cutter["add_prefix_space"] and cutter["use_regex"]
+    steps = [n["type"] for n in normalizer.get("normalizers", [])]
+    cuts = cutter.get("pretokenizers", [])
+    return steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["use_regex"]
+
+
 class Encoder:
     """ids(text) gives the text's ids as little-endian unsigned 32-bit integers; a null text counts as empty, without ids."""
 
@@ -42,7 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # As the library does by default, special tokens' strings in a text are those tokens; such texts go to it whole.
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known = _known(json.loads(self.library.to_str()))
         self.model = self.library.model
         self.normalizer = self.library.normalizer
         self.spaced = self.normalizer is None  # else white space is dropped
@@ -103,6 +119,8 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.known or any(t in text for t in self.special):
+            return self._encode(text)
         for c in _ODD_ASCII if text.isascii() else _ODD_SPACE:
             if c in text:
                 return self._encode(text)
