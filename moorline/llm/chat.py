@@ -1,12 +1,16 @@
 """Chat formatting by prefix-target expansion: every assistant turn is an example of its own.
 
-A conversation is formatted once, turn by turn; an example is that text up to the end of one assistant turn, with only
-that turn's text under the loss mask. So examples are spans of the one text: their number of characters grows with the
-square of the turns, what is stored only in proportion. expand() gives examples as texts.
+A conversation is formatted once, in pieces; expand() explodes every assistant turn into an example, whose context is
+all formatted text before the reply and of which only the reply is trainable. An example names its context by length
+and digest instead of repeating it: contexts grow with the square of the turns, what is stored only in proportion.
+contexts() writes examples out with their contexts as texts.
+
+Reading back takes the pieces of a conversation as one text, wherever they were cut: its control strings alone part
+turns. It checks each example's context against the text read so far, and takes what is trainable from the examples.
 
 Turns are ordered by turn, then role and text; null turns come first. A null role or text is empty; rows with a null
 conv_id are one conversation. Repeated rows are turns of their own. Conversations of any length stream through a task,
-which holds one turn at a time.
+which holds one turn at a time: a digest of all turns in order can't be split.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from .common import large_batches, tune
 
 #: A turn: role and text between control strings.
 TURN = "<s>{role}[INST]{text}[/INST]</s>"
+BEGIN, MIDDLE, END = "<s>", "[INST]", "[/INST]</s>"
 _CONTROL = re.compile(r"<(?=/?s>|</?SYS>>)|\[(?=/?INST\])")
-_TURN = re.compile(r"<s>(.*?)\[INST\](.*)\[/INST\]</s>", re.S)
 
 
 def escape(text: str) -> str:
@@ -36,12 +40,29 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
-def parse(formatted: str) -> tuple[str, str]:
-    """Role and text of a formatted turn."""
-    m = _TURN.fullmatch(formatted)
-    if m is None:
-        raise ValueError("not a formatted turn")
-    return unescape(m[1]), unescape(m[2])
+class Parser:
+    """Parts a conversation's text into turns by its control strings; feed() takes pieces cut anywhere."""
+
+    def __init__(self):
+        self.rest, self.at, self.seen = "", 0, 0
+
+    def feed(self, piece: str):
+        """The turns that end in piece: role, text as formatted, and where that text stands in the whole."""
+        # An end that lies across two pieces begins less than its length before the new one.
+        self.rest, look = self.rest + piece, max(0, len(self.rest) - len(END) + 1)
+        taken = 0
+        while (stop := self.rest.find(END, max(look, taken))) >= 0:
+            middle = self.rest.find(MIDDLE, taken, stop)
+            if middle < 0 or not self.rest.startswith(BEGIN, taken):
+                raise ValueError("not a formatted turn")
+            start = middle + len(MIDDLE)
+            yield unescape(self.rest[taken + len(BEGIN) : middle]), self.rest[start:stop], self.at + start
+            taken = stop + len(END)
+        self.rest, self.at = self.rest[taken:], self.at + taken
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("the text ends within a turn")
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
@@ -50,76 +71,140 @@ def _ordered(turns: DataFrame) -> DataFrame:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """Per turn: conv_id, seq (from 0), formatted, begins (its place in the conversation's text), and for assistant
-    turns example (from 0) and target_start, target_end, the place of the trainable text. A conversation's turns
-    follow each other in one partition."""
+    """The conversations' texts: conv_id, seq (from 0) and formatted, a turn each, which follow each other in one partition."""
     kind = turns.schema["conv_id"].dataType
-    schema = pa.schema([("conv_id", to_arrow_type(kind)), *[(n, pa.int64()) for n in ("seq", "begins", "example", "target_start", "target_end")], ("formatted", pa.string())])
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), ("seq", pa.int64()), ("formatted", pa.string())])
 
     def rows(batches):
-        now, seq, at, example = None, 0, 0, 0
+        now, seq = None, 0
         for batch in batches:
             for conv_id, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if (conv_id,) != now:
-                    now, seq, at, example = (conv_id,), 0, 0, 0
-                safe = escape(text)
-                formatted = TURN.format(role=escape(role), text=safe)
-                start = at + len(formatted) - len("[/INST]</s>") - len(safe)
-                if role == "assistant":
-                    yield conv_id, seq, at, example, start, start + len(safe), formatted
-                    example += 1
-                else:
-                    yield conv_id, seq, at, None, None, None, formatted
+                    now, seq = (conv_id,), 0
+                yield conv_id, seq, TURN.format(role=escape(role), text=escape(text))
                 seq += 1
-                at += len(formatted)
 
-    names = f"conv_id {kind.simpleString()}, seq bigint, begins bigint, example bigint, target_start bigint, target_end bigint, formatted string"
-    return _ordered(turns).mapInArrow(lambda batches: large_batches(rows(batches), schema), names)
+    return _ordered(turns).mapInArrow(lambda batches: large_batches(rows(batches), schema), f"conv_id {kind.simpleString()}, seq bigint, formatted string")
 
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """Per example: conv_id, example, and of the conversation's text the context's end and the target's span."""
-    return formatted.where("example is not null").select("conv_id", "example", F.col("target_start").alias("context_chars"), "target_start", "target_end")
+EXAMPLE = "struct<example:bigint,context_chars:bigint,context_sha256:string,target_end:bigint>"
 
 
 def expand(formatted: DataFrame) -> DataFrame:
+    """formatted with examples: of the assistant turns that end in a piece, the number (from 0), length and digest of the
+    context, which is all text before the reply, and where the reply ends. The reply alone is trainable."""
+    kind = formatted.schema["conv_id"].dataType
+    example = pa.struct([("example", pa.int64()), ("context_chars", pa.int64()), ("context_sha256", pa.string()), ("target_end", pa.int64())])
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), ("seq", pa.int64()), ("formatted", pa.string()), ("examples", pa.list_(example))])
+
+    def rows(batches):
+        now, parser, context, n = None, None, None, 0
+        for batch in batches:
+            for conv_id, seq, piece in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (conv_id,) != now:
+                    now, parser, context, n = (conv_id,), Parser(), Context(), 0
+                own = []
+                context.add(piece)
+                for role, text, start in parser.feed(piece):
+                    if role == "assistant":
+                        own.append({"example": n, "context_chars": start, "context_sha256": context.digest(start), "target_end": start + len(text)})
+                        n += 1
+                    context.drop(start + len(text))
+                yield conv_id, seq, piece, own
+
+    names = f"conv_id {kind.simpleString()}, seq bigint, formatted string, examples array<{EXAMPLE}>"
+    return formatted.mapInArrow(lambda batches: large_batches(rows(batches), schema), names)
+
+
+class Context:
+    """The running digest of a conversation's text: of every prefix that ends in what isn't dropped yet."""
+
+    def __init__(self):
+        self.hash, self.at, self.rest = hashlib.sha256(), 0, ""
+
+    def add(self, piece: str) -> None:
+        self.rest += piece
+
+    def drop(self, end: int) -> None:
+        """Nothing before end will be asked for again."""
+        self.hash.update(self.rest[: end - self.at].encode())
+        self.rest, self.at = self.rest[end - self.at :], end
+
+    def digest(self, end: int) -> str:
+        self.drop(end)
+        return self.hash.hexdigest()
+
+
+def examples(expanded: DataFrame) -> DataFrame:
+    """Per example: conv_id, example, context_chars, context_sha256, target_end."""
+    return expanded.select("conv_id", F.explode("examples").alias("x")).select("conv_id", "x.*")
+
+
+def contexts(expanded: DataFrame) -> DataFrame:
     """Examples as texts: conv_id, example, context, target. Text that many examples share is written for each."""
-    own = formatted.where("example is not null").select("conv_id", "example", F.col("seq").alias("last"), F.col("begins").alias("own"), "target_start", "target_end")
-    joined = own.join(formatted.select(F.col("conv_id").alias("of"), "seq", F.col("formatted").alias("part")), F.col("of").eqNullSafe(F.col("conv_id")) & (F.col("seq") <= F.col("last")))
-    whole = joined.groupBy("conv_id", "example", "target_start", "target_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), "").alias("text"))
+    own = expanded.select("conv_id", F.col("seq").alias("last"), F.explode("examples").alias("x"))
+    joined = own.join(expanded.select(F.col("conv_id").alias("of"), "seq", F.col("formatted").alias("part")), F.col("of").eqNullSafe(F.col("conv_id")) & (F.col("seq") <= F.col("last")))
+    whole = joined.groupBy("conv_id", "x").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), "").alias("text"))
     cut = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
-    return whole.select("conv_id", "example", cut(F.lit(0), F.col("target_start")).alias("context"), cut(F.col("target_start"), F.col("target_end")).alias("target"))
+    return whole.select("conv_id", "x.example", cut(F.lit(0), F.col("x.context_chars")).alias("context"), cut(F.col("x.context_chars"), F.col("x.target_end")).alias("target"))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, from format_turns' output alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples."""
-    kind = formatted.schema["conv_id"].dataType
+def read_back(expanded: DataFrame) -> DataFrame:
+    """Per conversation, from expand's output alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples.
+
+    What is under the loss mask comes from the examples: each must be a whole turn's text whose context is what was read before it."""
+    kind = expanded.schema["conv_id"].dataType
     schema = pa.schema([("conv_id", to_arrow_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
 
     def rows(batches):
-        now, turns, loss, n, chars, total, count = None, None, None, 0, 0, 0, 0
+        now, own = None, None
         for batch in batches:
-            for conv_id, begins, example, start, end, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))):
+            for conv_id, _, piece, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (conv_id,) != now:
                     if now:
-                        yield now[0], n, turns.hexdigest(), chars, loss.hexdigest(), total, count
-                    now, turns, loss, n, chars, total, count = (conv_id,), hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
-                role, said = parse(text)
-                turns.update(f"{role}\n{said}\n".encode())
-                n += 1
-                total += len(text)
-                if example is not None:
-                    target = unescape(text[start - begins : end - begins])
-                    loss.update(target.encode())
-                    chars += len(target)
-                    count += 1
+                        yield now[0], *own.result()
+                    now, own = (conv_id,), Reader()
+                own.read(piece, found)
         if now:
-            yield now[0], n, turns.hexdigest(), chars, loss.hexdigest(), total, count
+            yield now[0], *own.result()
 
     names = f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint"
-    return formatted.mapInArrow(lambda batches: large_batches(rows(batches), schema), names)
+    return expanded.mapInArrow(lambda batches: large_batches(rows(batches), schema), names)
+
+
+class Reader:
+    """Digests of one conversation that is read back piece by piece."""
+
+    def __init__(self):
+        self.parser, self.context = Parser(), Context()
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n = self.chars = self.total = self.count = 0
+
+    def read(self, piece: str, found: list[dict]) -> None:
+        self.context.add(piece)
+        self.total += len(piece)
+        wanted = {x["context_chars"]: x for x in found}
+        for role, text, start in self.parser.feed(piece):
+            self.turns.update(f"{role}\n{unescape(text)}\n".encode())
+            self.n += 1
+            example = wanted.pop(start, None)
+            if example is not None:
+                if example["target_end"] != start + len(text) or example["example"] != self.count or example["context_sha256"] != self.context.digest(start):
+                    raise ValueError("an example doesn't fit its conversation")
+                target = unescape(text)
+                self.loss.update(target.encode())
+                self.chars += len(target)
+                self.count += 1
+            self.context.drop(start + len(text))
+        if wanted:
+            raise ValueError("an example isn't a turn of its conversation")
+
+    def result(self) -> tuple:
+        self.parser.close()
+        return self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.total, self.count
 
 
 def round_trip(turns: DataFrame) -> DataFrame:
+    """All conversations formatted, expanded into examples, and read back."""
     tune(turns.sparkSession)
-    return read_back(format_turns(turns))
+    return read_back(expand(format_turns(turns)))
