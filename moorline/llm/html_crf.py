@@ -15,8 +15,8 @@ import numpy as np
 #: Words in class and id names that speak for a part of a page; of nested parts the innermost counts most.
 PARTS = {
     "content": r"content|article|post|entry|story|body|prose|text|main|page",
-    "menu": r"nav|menu|breadcrumb|crumbs|tabs|pager|pagination|toc|links",
-    "side": r"side|aside|widget|related|recommend|popular|trending|more|tags|teaser|author|bio",
+    "menu": r"nav\w*|menu\w*|breadcrumb\w*|crumbs|tabs|pager|pagination|toc|links",
+    "side": r"side\w*|aside|rail|widget|related|recommend\w*|popular|trending|more|tags|teaser|author|bio",
     "advert": r"ads?|advert\w*|sponsor\w*|promo\w*|banner|adsense|affiliate",
     "foot": r"foot\w*|copyright|legal|colophon|imprint",
     "head": r"head|header|masthead|logo|topbar|brand|hero|site",
@@ -35,6 +35,7 @@ NAMES = [
     *(f"inner_{p}" for p in PARTS),
     *(f"any_{p}" for p in PARTS),
     "words_0_3", "words_4_9", "words_10_24", "words_25_up", "sentence", "commas", "linked_some", "linked_most", "sign", "first", "early", "late",
+    "words_50_up", "no_part", "outside", "unframed", "unframed_prose", "unframed_heading", "unframed_links",
 ]
 _AT = {n: i for i, n in enumerate(NAMES)}
 
@@ -49,20 +50,28 @@ def part_of(tag: str, names: str) -> str | None:
     return _TAG_PARTS.get(tag)
 
 
-def active(path: tuple[tuple[str, str], ...], text: str, linked: int, place: float) -> list[int]:
-    """The features of a block that are on. path: (tag, names) from the page down to the block's own element."""
+def parts_of(path: tuple[tuple[str, str], ...]) -> list[str]:
+    """The parts of a page that a block's elements speak for, from the page down."""
+    return [p for p in (part_of(t, n) for t, n in path) if p]
+
+
+def active(path: tuple[tuple[str, str], ...], parts: list[str], text: str, linked: int, place: float, framed: bool) -> list[int]:
+    """The features of a block that are on. path: (tag, names) from the page down to the block's own element; framed:
+    whether any block of the page is in an element that speaks for content."""
     on = {0}
     tags = [t for t, _ in path]
     if tags and tags[-1] in TAGS:
         on.add(_AT[f"own_{tags[-1]}"])
     on.update(_AT[f"above_{t}"] for t in tags[:-1] if t in TAGS)
-    parts = [p for p in (part_of(t, n) for t, n in path) if p]
     if parts:
         on.add(_AT[f"inner_{parts[-1]}"])
         on.update(_AT[f"any_{p}"] for p in parts)
     n = text.count(" ") + 1
     on.add(_AT["words_0_3" if n < 4 else "words_4_9" if n < 10 else "words_10_24" if n < 25 else "words_25_up"])
-    if text[-1] in ".!?\"'…。»”":
+    if n >= 50:
+        on.add(_AT["words_50_up"])
+    sentence = text[-1] in ".!?\"'…。»”"
+    if sentence:
         on.add(_AT["sentence"])
     if text.count(",") >= 2:
         on.add(_AT["commas"])
@@ -70,7 +79,21 @@ def active(path: tuple[tuple[str, str], ...], text: str, linked: int, place: flo
         on.add(_AT["linked_most" if linked * 2 > len(text) else "linked_some"])
     if "©" in text or "&copy" in text:
         on.add(_AT["sign"])
-    on.add(_AT["first" if place == 0 else "early" if place < 0.3 else "late"]) if place < 0.3 or place > 0.7 else None
+    if place < 0.3 or place > 0.7:
+        on.add(_AT["first" if place == 0 else "early" if place < 0.3 else "late"])
+    if not parts:
+        on.add(_AT["no_part"])
+    if framed and "content" not in parts:
+        on.add(_AT["outside"])
+    if not framed:
+        # Nothing on the page speaks for content: prose outside of any telling part has to do so itself.
+        on.add(_AT["unframed"])
+        if not parts and linked * 2 > len(text):
+            on.add(_AT["unframed_links"])
+        elif not parts and tags and re.fullmatch("h[1-6]", tags[-1]):
+            on.add(_AT["unframed_heading"])
+        elif not parts and (sentence or n >= 10):
+            on.add(_AT["unframed_prose"])
     return sorted(on)
 
 
@@ -95,7 +118,7 @@ def labelled_pages(n: int, seed: int = 3) -> list[tuple[str, list[str]]]:
 
     def junk(where: str) -> str:
         own = {
-            "menu": lambda: rng.choice([f"<nav>{links()}</nav>", f"<div{name('nav', 'menu', 'main-menu', 'breadcrumb', 'pagination')}>{links()}</div>", f"<nav><a href='/'>{word()}</a> <a href='/x'>{word()}</a></nav>"]),
+            "menu": lambda: rng.choice([links(), f"<div>{links()}</div>", f"<nav>{links()}</nav>", f"<div{name('nav', 'menu', 'main-menu', 'breadcrumb', 'pagination')}>{links()}</div>", f"<nav><a href='/'>{word()}</a> <a href='/x'>{word()}</a></nav>"]),
             "head": lambda: rng.choice([f"<header><h2>{title()}</h2><p>{sentence(3, 9)}</p></header>", f"<div{name('header', 'masthead', 'site-header', 'topbar')}><p>{title()}</p></div>"]),
             "advert": lambda: rng.choice([f"<div{name('ad', 'ads', 'advert', 'sponsored', 'promo', 'banner')}>{prose(1, 2)}</div>", f"<aside{name('ad', 'promo')}><p>{prose(1, 3)}</p></aside>", f"<p{name('ad', 'advert', 'sponsor')}>{prose(1, 2)}</p>"]),
             "side": lambda: rng.choice([f"<aside><h3>{title()}</h3>{some(1, 3)}</aside>", f"<div{name('sidebar', 'widget', 'related', 'recommended', 'popular')}><h3>{title()}</h3>{rng.choice([links(), some(1, 3)])}</div>"]),
@@ -103,7 +126,7 @@ def labelled_pages(n: int, seed: int = 3) -> list[tuple[str, list[str]]]:
             "share": lambda: f"<div{name('share', 'social', 'sharing')}><a href='/f'>{word()}</a> <a href='/t'>{word()}</a></div>",
             "form": lambda: f"<form{rng.choice(['', name('search', 'login', 'contact-form')])}><label>{title()}</label><input><button>{word()}</button>{rng.choice(['', f'<p>{prose(1, 2)}</p>'])}</form>",
             "comment": lambda: rng.choice([f"<section{name('comments', 'comment-list', 'discussion', 'responses')}><h3>{title()}</h3>" + "".join(f"<div{name('comment', 'reply')}><p>{prose(1, 4)}</p></div>" for _ in range(rng.randint(1, 5))) + "</section>", f"<div{name('comments', 'disqus', 'reader-comments')}><ul>" + "".join(f"<li>{rng.choice([word(), '<b>' + word() + '</b>'])} {prose(1, 4)}</li>" for _ in range(rng.randint(1, 4))) + "</ul></div>"]),
-            "foot": lambda: rng.choice([f"<footer>&copy; {word()}.example &middot; {prose(1, 2)}</footer>", f"<footer>{some(1, 2)}{links()}</footer>", f"<div{name('footer', 'copyright', 'legal')}><p>&copy; {title()}</p>{prose(1, 2)}</div>"]),
+            "foot": lambda: rng.choice([f"<p>&copy; {title()}</p>", f"<footer>&copy; {word()}.example &middot; {prose(1, 2)}</footer>", f"<footer>{some(1, 2)}{links()}</footer>", f"<div{name('footer', 'copyright', 'legal')}><p>&copy; {title()}</p>{prose(1, 2)}</div>"]),
         }
         return own[where]()
 
@@ -136,36 +159,42 @@ def labelled_pages(n: int, seed: int = 3) -> list[tuple[str, list[str]]]:
                 inside.append(junk(rng.choice(["advert", "side", "share", "notice", "form"])))
         body = "".join(inside)
         shape = rng.random()
-        if shape < 0.35:
+        plain = lambda: rng.choice(["", "", f' class="{word()}"', f' id="{word()}-{word()}"'])
+        if shape < 0.22:
             body = f"<article>{body}</article>"
-        elif shape < 0.5:
+        elif shape < 0.32:
             body = f"<main>{body}</main>"
-        elif shape < 0.6:
+        elif shape < 0.4:
             body = f"<main><article{name('post', 'entry')}>{body}</article></main>"
-        elif shape < 0.9:
+        elif shape < 0.62:
             body = f"<div{name('content', 'article', 'post', 'entry-content', 'story', 'main', 'article-body')}>{body}</div>"
-        elif shape < 0.94:
-            body = f"<div>{body}</div>"
-        bare = 0.2 if shape >= 0.9 else 1
+        elif shape < 0.78:
+            for _ in range(rng.randint(1, 3)):
+                body = f"<div{plain()}>{body}</div>"
+        elif shape < 0.83:
+            body = f"<section{plain()}>{body}</section>"
+        elif shape < 0.87:
+            body = f"<table{plain()}><tr><td{plain()}>{body}</td></tr></table>"
+        bare = rng.choice([0.0, 0.25, 1.0]) if shape >= 0.62 else 1
         before = [junk(k) for k in ("menu", "head", "advert", "notice", "form", "side") if rng.random() < bare * (0.8 if k == "menu" else 0.35)]
         after = [junk(k) for k in ("share", "advert", "side", "comment", "notice", "form") if rng.random() < bare * (0.55 if k == "comment" else 0.35)]
         rng.shuffle(before)
         rng.shuffle(after)
-        foot = junk("foot") if rng.random() < 0.85 else ""
+        foot = junk("foot") if rng.random() < (0.85 if bare else 0.3) else ""
         pages.append((f"<html><head><title>{title()}</title><style>p{{margin:0}}</style></head><body>{''.join(before)}{body}{''.join(after)}{foot}</body></html>", kept))
     return pages
 
 
-def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate: float = 0.2, ridge: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 200, rate: float = 0.2, ridge: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights (feature, label) and transitions (label, label) of the greatest regularised likelihood, by Adam."""
     pages = [p for p in pages if p[0]]
     longest = max(len(f) for f, _ in pages)
-    x = np.zeros((len(pages), longest, len(NAMES)), dtype=np.float32)
+    x = np.zeros((sum(len(f) for f, _ in pages), len(NAMES)), dtype=np.float32)
     y = np.zeros((len(pages), longest), dtype=np.int64)
     there = np.zeros((len(pages), longest), dtype=bool)
-    for i, (features, labels) in enumerate(pages):
-        for t, on in enumerate(features):
-            x[i, t, on] = 1
+    for k, on in enumerate(on for f, _ in pages for on in f):
+        x[k, on] = 1
+    for i, (_, labels) in enumerate(pages):
         y[i, : len(labels)] = labels
         there[i, : len(labels)] = True
     weights, moves = np.zeros((len(NAMES), 2)), np.zeros((2, 2))
@@ -175,7 +204,8 @@ def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate
     pairs = (there[:, 1:, None, None] * np.eye(2)[y[:, :-1]][..., :, None] * np.eye(2)[y[:, 1:]][..., None, :]).sum(axis=(0, 1))
     n = there.sum()
     for step in range(1, steps + 1):
-        scores = x @ weights
+        scores = np.zeros((len(pages), longest, 2))
+        scores[there] = x @ weights.astype(np.float32)
         up, down = np.zeros_like(scores), np.zeros_like(scores)
         up[:, 0] = scores[:, 0]
         for t in range(1, longest):
@@ -187,7 +217,7 @@ def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate
         total = np.logaddexp.reduce(up[:, -1], axis=1)
         single = np.exp(up + down - total[:, None, None]) * there[..., None]
         joint = np.exp(up[:, :-1, :, None] + moves + (scores[:, 1:] + down[:, 1:])[:, :, None, :] - total[:, None, None, None]) * there[:, 1:, None, None]
-        grads = [np.einsum("itf,itk->fk", x, gold - single, optimize=True) / n - ridge * weights, (pairs - joint.sum(axis=(0, 1))) / n - ridge * moves]
+        grads = [x.T @ (gold - single)[there].astype(np.float32) / n - ridge * weights, (pairs - joint.sum(axis=(0, 1))) / n - ridge * moves]
         for p, g, m, v in zip(parameters, grads, first, second):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)

@@ -1,7 +1,8 @@
 """Main text of web pages: a conditional random field labels a page's leaf blocks as article or not.
 
 The whole html is read; elements are closed as browsers do for missing end tags. Scripts, styles, comments and other
-text that is never shown make no blocks; what is no markup, as code, is skipped up to its end tag without being parsed.
+text that is never shown make no blocks; what is no markup, as code, is skipped up to its end tag without being parsed,
+and what is hidden markup, as a drawing or a list of choices, ends at the latest with the element it stands in.
 A null or empty html, and a page without blocks, has an empty text. Repeated rows each get their own text.
 """
 
@@ -18,14 +19,16 @@ from . import html_crf
 from .common import append, tune
 
 #: Labelled pages to train on.
-PAGES = 500
+PAGES = 900
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
-#: Elements whose content is no markup, or is never shown.
-_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object", "title", "select", "video", "audio", "canvas", "noembed", "xmp"}
-#: Of these, the elements whose content is plain text up to their end tag, and where that end tag is.
+#: Elements whose content is plain text up to their end tag, never shown, and where that end tag is.
 _ENDS = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>]|\Z)", re.I) for name in ("script", "style", "noscript", "iframe", "textarea", "title", "noembed", "xmp")}
+#: Elements that hold markup which isn't shown: they end with their end tag or with the element they are in; of these,
+#: the elements that an element of running text also ends.
+_HIDDEN = {"template", "svg", "select", "video", "audio", "canvas", "annotation", "datalist"}
+_BROKEN_OUT = {"svg", "select", "datalist"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img input label button ruby rt rp nobr blink center-inline map".split())
+_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img input label button ruby rt rp nobr blink map math mi mo mn ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
 #: Elements that a start tag closes, if open in the same box; and the elements that are such boxes.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -38,13 +41,16 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, str], ...], str, int
     out: list[tuple[tuple[tuple[str, str], ...], str, int]] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked, in_link, until = 0, False, None
+    linked, in_link = 0, False
+
+    def hidden() -> int | None:
+        return next((i for i, (t, _) in enumerate(stack) if t in _HIDDEN), None)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text:
+            if text and hidden() is None:
                 out.append((tuple(stack), text, linked))
             parts.clear()
         linked = 0
@@ -56,7 +62,7 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, str], ...], str, int
         tag = m.group(2) or m.group(5)
         if tag is None:
             text = m.group()
-            if until is None and not text.startswith(("<!", "<?")):
+            if not text.startswith(("<!", "<?")):
                 parts.append(text)
                 if in_link:
                     linked += len(text)
@@ -68,14 +74,19 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, str], ...], str, int
                 end = _ENDS[tag].search(page, at)
                 at = end.start() if end else len(page)
             continue
-        if until is not None:
-            if closing and tag == until:
-                until = None
-            continue
-        if tag in _RAW:
-            if not closing and not m.group().endswith("/>"):
-                until = tag
+        if tag in _HIDDEN:
+            flush()
+            if closing:
+                _pop(stack, tag)
+            elif not m.group().endswith("/>"):
+                stack.append((tag, ""))
             continue
+        if not closing and (out_of := hidden()) is not None:
+            if tag in _ENDS_P and stack[out_of][0] in _BROKEN_OUT and all(t != "foreignobject" for t, _ in stack):
+                flush()
+                del stack[out_of:]
+            elif m.group().endswith("/>"):
+                continue
         if tag == "a":
             in_link = not closing
         if tag == "br":
@@ -122,7 +133,9 @@ def _close(stack: list[tuple[str, str]], tags: set[str]) -> None:
 
 def featured(found: list) -> list[list[int]]:
     last = max(1, len(found) - 1)
-    return [html_crf.active(path, text, linked, i / last) for i, (path, text, linked) in enumerate(found)]
+    parts = [html_crf.parts_of(path) for path, _, _ in found]
+    framed = any("content" in p for p in parts)
+    return [html_crf.active(path, own, text, linked, i / last, framed) for i, ((path, text, linked), own) in enumerate(zip(found, parts))]
 
 
 @lru_cache(maxsize=1)
