@@ -48,11 +48,10 @@ def ingest(store: Store, bundle: Bundle, source: Source, rows: DataFrame, finger
     started = datetime.now(UTC)
     taken = rows if limit is None else rows.where(F.col("row_seq") <= limit)
     mapped = map_rows(taken, source, batch, bundle.ontology, endpoint)
-    raw = taken.select(F.lit(source.source_id).alias("source_id"), F.lit(batch).cast("bigint").alias("batch_id"), "row_seq", "raw")
-    counts = taken.agg(F.count("*").alias("rows_read")).first().asDict()
-    of = mapped.cells.agg(F.countDistinct("row_seq").alias("rows_kept"), F.countDistinct("type", "key_hash").alias("records_written"), F.count_if(F.col("error").isNull()).alias("properties_written"), F.count_if(F.col("error").isNotNull()).alias("properties_rejected")).first().asDict()
-    counts |= {k: of[k] for k in ("records_written", "properties_written", "properties_rejected")}
-    counts["rows_filtered"] = counts["rows_read"] - of["rows_kept"]
+    # Only rows that give a record are kept raw: of the others nothing refers to it.
+    raw = mapped.kept.select(F.lit(source.source_id).alias("source_id"), F.lit(batch).cast("bigint").alias("batch_id"), "row_seq", "raw")
+    counts = taken.agg(F.count("*").alias("rows_read"), F.count_if(mapped.records.isNull()).alias("rows_filtered"), F.coalesce(F.sum(mapped.records), F.lit(0)).alias("records_written")).first().asDict()
+    counts |= mapped.cells.agg(F.count_if(F.col("error").isNull()).alias("properties_written"), F.count_if(F.col("error").isNotNull()).alias("properties_rejected")).first().asDict()
     line = (source.source_id, batch, source.id, source.uri, endpoint, header, fingerprint if limit is None else "", started, datetime.now(UTC), counts["rows_read"], counts["rows_filtered"], counts["records_written"], counts["properties_written"], counts["properties_rejected"])
     manifest = store.spark.createDataFrame([line], MANIFEST)
     store.publish(append={"raw": raw, "cells": mapped.cells, "link_refs": mapped.refs, "ingest_manifest": manifest})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorline.functions.transforms import Typed, apply_chain, chain_fingerprint, resolve_chain
@@ -20,11 +20,13 @@ SLOT_TYPES = {"s": "string", "i": "bigint", "d": "double", "b": "boolean", "ts":
 
 @dataclass
 class Mapped:
-    """cells: a row for each property of each record; refs: link references; counts: rows read, filtered and so on."""
+    """cells: a row for each property of each record; refs: link references; kept: the rows that give any record;
+    records: how many a row gives, null if it is filtered."""
 
     cells: DataFrame
     refs: DataFrame
-    accepted: DataFrame
+    kept: DataFrame
+    records: Column
 
 
 def field(name: str) -> Column:
@@ -83,9 +85,8 @@ def map_rows(rows: DataFrame, source: Source, batch_id: int, ontology: Ontology,
     """All records of a source's rows. Rows that a filter rejects, and records without a key, are left out."""
     kept = rows.where(accepts(source))
     cells, refs = [], []
-    for m in source.mappings:
-        if m.endpoint != endpoint and m.endpoint is not None:
-            continue
+    used = [m for m in source.mappings if m.endpoint in (endpoint, None)]
+    for m in used:
         keyed = kept.withColumn("natural_key", natural_key(m)).where("natural_key is not null")
         head = [F.lit(source.source_id).alias("source_id"), F.lit(batch_id).cast("bigint").alias("batch_id"), "row_seq", F.lit(m.target).alias("type"), F.xxhash64("natural_key").alias("key_hash"), "natural_key"]
         structs = []
@@ -100,7 +101,8 @@ def map_rows(rows: DataFrame, source: Source, batch_id: int, ontology: Ontology,
             refs.append(keyed.where(value != "").select(*head, F.lit(x.link).alias("link"), F.lit(x.target).alias("target_type"), F.lit(x.match_property).alias("match_property"), value.alias("match_value"), F.lit(x.column).alias("column")))
     spark = rows.sparkSession
     none = spark.createDataFrame([], "source_id int, batch_id bigint, row_seq bigint, type string, key_hash bigint, natural_key string, link string, target_type string, match_property string, match_value string, column string")
-    return Mapped(reduce(DataFrame.unionByName, cells), reduce(DataFrame.unionByName, refs, none), kept)
+    given = reduce(lambda a, b: a + b, [natural_key(m).isNotNull().cast("int") for m in used])
+    return Mapped(reduce(DataFrame.unionByName, cells), reduce(DataFrame.unionByName, refs, none), kept.where(given > 0), F.when(accepts(source) & (given > 0), given))
 
 
 def latest(cells: DataFrame) -> DataFrame:
@@ -118,8 +120,3 @@ def records(cells: DataFrame, ontology: Ontology, type_name: str) -> DataFrame:
     own = cells.where(F.col("type") == type_name)
     return own.groupBy("source_id", "key_hash").agg(F.first("natural_key").alias("natural_key"), F.first("batch_id").alias("batch_id"), F.first("row_seq").alias("row_seq"), *aggregates)
 
-
-def latest_by(table: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Of each key's rows the last by order."""
-    ranked = table.withColumn("rank_", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])))
-    return ranked.where("rank_ = 1").drop("rank_")
