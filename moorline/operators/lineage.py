@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +16,9 @@ from .mapping import SEPARATOR, SLOTS, declared
 FAILURES = ("no_raw_row", "no_cell", "chain_changed", "replay_failed", "differs")
 
 
-def _csv_cells(rows: DataFrame) -> DataFrame:
-    """rows with header and raw to cell: the text of each of column's parts, joined; null if one isn't in the header."""
-    ship(rows.sparkSession)
+def _csv_cell(raw: Column, spark) -> Column:
+    """The text of each of the origin column's parts in a CSV row, joined; null if one isn't in the header."""
+    ship(spark)
 
     @F.pandas_udf("string")
     def cell(raw: pd.Series, header: pd.Series, column: pd.Series) -> pd.Series:
@@ -37,20 +35,33 @@ def _csv_cells(rows: DataFrame) -> DataFrame:
             out.append(SEPARATOR.join(cells[place[p]] if place[p] < len(cells) else "" for p in parts) if all(p in place for p in parts) else None)
         return pd.Series(out, dtype="object")
 
-    return rows.withColumn("cell", cell("raw", "header", "origin.column"))
+    return cell(raw, F.col("header"), F.col("origin.column"))
 
 
-def _json_cells(rows: DataFrame, columns: list[str]) -> DataFrame:
+def _json_cell(columns: list[str]) -> Column:
     item = F.try_parse_json("raw")
     cell: Column = F.lit(None).cast("string")
     for c in columns:
         cell = F.when(F.col("origin.column") == c, _scalar(item, _json_path(c))).otherwise(cell)
-    return rows.withColumn("cell", cell)
+    return cell
 
 
-def _tab_cells(rows: DataFrame) -> DataFrame:
+def _tab_cell() -> Column:
     at = F.array_position("header", F.col("origin.column"))
-    return rows.withColumn("cell", F.when(at > 0, F.get(F.split("raw", "\t"), (at - 1).cast("int"))))
+    return F.when(at > 0, F.get(F.split("raw", "\t"), (at - 1).cast("int")))
+
+
+def _with_cells(joined: DataFrame, bundle: Bundle) -> DataFrame:
+    """The cell of each row, by its source's kind, in one pass."""
+    of = F.col("origin.source_id")
+    by = {k: [s for s in bundle.sources.values() if s.connector == k] for k in ("csv", "http")}
+    of_kind = {k: of.isin(*[s.source_id for s in sources]) for k, sources in by.items() if sources}
+    cell = _tab_cell()
+    for s in by["http"]:
+        cell = F.when(of == s.source_id, _json_cell(s.columns())).otherwise(cell)
+    if "csv" in of_kind:
+        cell = F.when(of_kind["csv"], _csv_cell(F.when(of_kind["csv"], F.col("raw")), joined.sparkSession)).otherwise(cell)
+    return joined.withColumn("cell", F.when(of.isin(*[s.source_id for s in bundle.sources.values()]), cell))
 
 
 def explained(provenance: DataFrame, raw: DataFrame, manifest: DataFrame, bundle: Bundle) -> DataFrame:
@@ -58,12 +69,7 @@ def explained(provenance: DataFrame, raw: DataFrame, manifest: DataFrame, bundle
     at = raw.select(F.col("source_id").alias("rs"), F.col("batch_id").alias("rb"), F.col("row_seq").alias("rr"), "raw")
     heads = manifest.select(F.col("source_id").alias("ms"), F.col("batch_id").alias("mb"), "header", "endpoint")
     joined = provenance.join(at, (F.col("origin.source_id") == F.col("rs")) & (F.col("origin.batch_id") == F.col("rb")) & (F.col("origin.row_seq") == F.col("rr")), "left").join(heads, (F.col("origin.source_id") == F.col("ms")) & (F.col("origin.batch_id") == F.col("mb")), "left").drop("rs", "rb", "rr", "ms", "mb")
-    parts = []
-    for source in bundle.sources.values():
-        own = joined.where(F.col("origin.source_id") == source.source_id)
-        own = _csv_cells(own) if source.connector == "csv" else _json_cells(own, source.columns()) if source.connector == "http" else _tab_cells(own)
-        parts.append(own)
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = _with_cells(joined, bundle)
     replayed, known = None, None
     seen = set()
     same: Column = F.lit(False)
