@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorline.functions import geo, text
-from moorline.functions.transforms import FLAGS, apply_chain, flags_from
+from moorline.functions.transforms import FLAGS, apply_chain
 from moorline.operators import blocking, cluster, evaluate, fusion, graph, ingest, lineage, links, mapping, scoring
 from moorline.plans import executor
 from moorline.plans.ir import Query
@@ -65,9 +65,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def world(spark: SparkSession, sf_dir: str) -> executor.Graph:
-    """The graph over the given tables; nothing is copied, so filters reach their scans."""
+    """The graph over the given tables; nothing is copied, and ids stay numbers, so filters and ids reach their scans."""
     t = lambda name: table(spark, sf_dir, name)
-    key = lambda c: F.col(c).cast("string")
+    key = lambda c: F.col(c).cast("bigint")
     entities = {
         "Region": t("region").select(key("r_regionkey").alias("entity_id"), F.col("r_name").alias("name")),
         "Nation": t("nation").select(key("n_nationkey").alias("entity_id"), F.col("n_name").alias("name")),
@@ -75,7 +75,7 @@ def world(spark: SparkSession, sf_dir: str) -> executor.Graph:
         "Supplier": t("supplier").select(key("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")),
         "Part": t("part").select(key("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").cast("bigint").alias("size"), F.split("p_type", " ").alias("words")),
         "Order": t("orders").select(key("o_orderkey").alias("entity_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("ordered_at"), F.col("o_orderpriority").alias("priority")),
-        "User": t("events").select(key("user_id").alias("entity_id"), key("user_id").alias("ref")).distinct(),
+        "User": t("events").select(key("user_id").alias("entity_id"), F.col("user_id").cast("string").alias("ref")).distinct(),
         "Event": t("events").select(key("event_id").alias("entity_id"), F.col("event_type").alias("kind"), "value", F.col("ts").alias("at")),
         "Document": t("documents").select(key("doc_id").alias("entity_id"), "lang", "source", "n_chars"),
     }
@@ -122,9 +122,10 @@ def full_scan(spark, sf_dir):
     return found(spark, sf_dir, {"start": {"type": "Customer"}})
 
 
-@query("select 'Nation' \"type\", '7' entity_id, '{\"name\":\"' || n_name || '\"}' properties from nation where n_nationkey = 7")
+@query("select 'Nation' \"type\", '7' entity_id, n_name \"name\" from nation where n_nationkey = 7 union all select 'Region', '7', r_name from region where r_regionkey = 7 union all select 'Customer', '7', c_name from customer where c_custkey = 7 union all select 'Supplier', '7', s_name from supplier where s_suppkey = 7 union all select 'Part', '7', p_name from part where p_partkey = 7 union all select 'Order', '7', null from orders where o_orderkey = 7 union all select distinct 'User', '7', null from events where user_id = 7 union all select 'Event', '7', null from events where event_id = 7 union all select 'Document', '7', null from documents where doc_id = 7")
 def find_entity(spark, sf_dir):
-    return world(spark, sf_dir).find("7").where("type = 'Nation'")
+    """An id that entities of several types have: all are found."""
+    return world(spark, sf_dir).find("7").select("type", "entity_id", F.get_json_object("properties", "$.name").alias("name"))
 
 
 # Predicates ------------------------------------------------------------------------------------------------------
@@ -274,7 +275,7 @@ _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _IMO = "lpad(o_orderkey::varchar, 7, '9')"
 _IMO_OK = "(" + " + ".join(f"substr({_IMO}, {i}, 1)::int * {8 - i}" for i in range(1, 7)) + f") % 10 = substr({_IMO}, 7, 1)::int"
 _MID = "(200 + c_custkey % 500)"
-_MIDS = "case " + " ".join(f"when {_MID} = {k} then '{v}'" for k, v in flags_from(FLAGS).items()) + " end"
+_MIDS = "case " + " ".join(f"when {_MID} = {k} then '{v}'" for k, v in FLAGS.items()) + " end"
 _WORDS = "list_transform(string_split(p_type, ' '), lambda x: "
 
 _xf("trim", ["trim"], "part", "p_partkey", lambda: F.concat(F.lit(" \t "), F.col("p_name"), F.lit("\n ")), "p_name")
@@ -314,10 +315,10 @@ def enum_domain(spark, sf_dir):
 # Names, similarity, geography --------------------------------------------------------------------------------------
 
 
-@query(f"select doc_id, len(list_filter(regexp_split_to_array(translate(text, '{_az}', '{_AZ}'), '[^0-9A-Z]+'), lambda x: x <> ''))::int n, array_to_string(list_slice(list_filter(regexp_split_to_array(translate(text, '{_az}', '{_AZ}'), '[^0-9A-Z]+'), lambda x: x <> ''), 1, 20), ' ') first_words from documents")
+@query(f"select doc_id, len(list_filter(regexp_split_to_array(translate(text, '{_az}', '{_AZ}'), '[^0-9A-Z]+'), lambda x: x <> ''))::int n, md5(array_to_string(list_filter(regexp_split_to_array(translate(text, '{_az}', '{_AZ}'), '[^0-9A-Z]+'), lambda x: x <> ''), ' ')) all_words from documents")
 def norm_tokens(spark, sf_dir):
     words = text.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"), F.array_join(F.slice(words, 1, 20), " ").alias("first_words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"), F.md5(F.array_join(words, " ").cast("binary")).alias("all_words"))
 
 
 _TWO = "select a.p_partkey a, b.p_partkey b, string_split(a.p_type, ' ') x, string_split(b.p_type, ' ') y from part a join part b on b.p_partkey = a.p_partkey + 1"
@@ -535,9 +536,25 @@ def fuse_union(spark, sf_dir):
     return fused.select("part", F.array_join("l", ",").alias("all"))
 
 
-@query("select l_partkey, l_orderkey, l_linenumber, l_quantity from (select *, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc) r from lineitem) where r = 1")
+_BATCH = [
+    {"source": {"id": "c", "source_id": 1, "connector": "memory", "natural_key": ["k"]}, "mappings": [{"target_type": "Customer", "properties": {"name": {"from": "n", "transform": ["trim"]}, "segment": {"from": "s", "transform": ["upper"]}}}]},
+]
+
+
+def _batch(rows: DataFrame, number: int, bundle: Bundle) -> DataFrame:
+    fields = F.map_from_arrays(F.array(F.lit("k"), F.lit("n"), F.lit("s")), F.array(F.col("k").cast("string"), F.col("n"), F.col("s")))
+    given = rows.select(F.col("k").alias("row_seq"), fields.alias("fields"))
+    return mapping.map_rows(given, bundle.sources["c"], number, bundle.ontology).cells
+
+
+@query("select c_custkey::varchar natural_key, 'name' prop, c_name || case when c_custkey % 3 = 0 then ' II' else '' end \"value\", case when c_custkey % 3 = 0 then 2 else 1 end::bigint batch_id from customer union all select c_custkey::varchar, 'segment', c_mktsegment, 1 from customer where c_custkey % 3 <> 0")
 def latest_per_key(spark, sf_dir):
-    return mapping.latest_by(table(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_orderkey", "l_linenumber"]).select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    """Two batches: the second brings a third of the customers anew, without a segment; of each record the newer batch's cells stay."""
+    bundle = Bundle.read(ONTOLOGY, _BATCH)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.col("c_mktsegment").alias("s"))
+    again = c.where("k % 3 = 0").select("k", F.concat("n", F.lit(" II ")).alias("n"), F.lit(None).cast("string").alias("s"))
+    cells = _batch(c, 1, bundle).unionByName(_batch(again, 2, bundle))
+    return mapping.latest(cells).where("s is not null").select("natural_key", "prop", F.col("s").alias("value"), "batch_id")
 
 
 _REFS = "(select o_orderkey, case when o_orderkey % 11 = 0 then 'nobody' else c_name end told, o_orderkey % 13 = 0 orphan, o_orderdate ts from orders left join customer on c_custkey = o_custkey)"
@@ -561,14 +578,18 @@ def link_resolve(spark, sf_dir):
     return links.edges(_resolved(spark, sf_dir)).select("src", "dst", "ts")
 
 
-@query("select c_custkey row_seq, c_name \"name\", c_mktsegment segment from (select row_number() over () r, * from customer) where false union all select c_custkey, c_name, c_mktsegment from customer")
+_CSV_ROW = "'\"' || c_custkey || '\",\"' || c_name || '\",\"say \"\"hi\"\",' || chr(10) || c_mktsegment || '\"'"
+
+
+@query(f"select row_number() over (order by c_custkey) row_seq, c_custkey \"key\", c_name \"name\", 'say \"hi\",' || chr(10) || c_mktsegment segment, {_CSV_ROW} raw from customer")
 def csv_scan(spark, sf_dir):
-    """The customers, written as CSV and read by the splitter, whose rows keep the natural key."""
+    """The customers, written as one CSV file in order and read by the splitter: dense row numbers, cells and verbatim rows."""
     ship(spark)
     path = shared_dir(spark, "csv")
-    table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit('say "hi",\n'), F.col("c_mktsegment")).alias("c_mktsegment")).write.csv(path, header=True, quoteAll=True, escape='"')
-    fields = readers.read_csv(spark, path).select("fields")
-    return fields.select(F.col("fields")["c_custkey"].cast("bigint").alias("row_seq"), F.col("fields")["c_name"].alias("name"), F.regexp_replace(F.col("fields")["c_mktsegment"], 'say "hi",\n', "").alias("segment"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit('say "hi",\n'), F.col("c_mktsegment")).alias("c_mktsegment"))
+    c.repartition(1).sortWithinPartitions("c_custkey").write.csv(path, header=True, quoteAll=True, escape='"')
+    f = lambda name: F.col("fields")[name]
+    return readers.read_csv(spark, path).select("row_seq", f("c_custkey").cast("bigint").alias("key"), f("c_name").alias("name"), f("c_mktsegment").alias("segment"), "raw")
 
 
 @query("select row_number() over (order by c_custkey) row_seq, c_name \"name\", c_mktsegment segment, '2' \"second\" from customer")
@@ -600,12 +621,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[Store, Bundle]:
 @query("select 1 source_id, 1::bigint batches, count(*) raw_rows, count(*) records, 1::bigint latest_batch from customer where regexp_matches(c_mktsegment, '^[A-M]') union all select 2, 1, count(*), count(*), 1 from supplier")
 def source_stats(spark, sf_dir):
     store, _ = _ingested(spark, sf_dir)
-    at = store.snapshot()
-    raw_kept = ingest.source_stats(at)
-    filtered = at.table("ingest_manifest").select("source_id", "rows_filtered")
-    return raw_kept.join(filtered, "source_id").select("source_id", "batches", (F.col("raw_rows") - F.col("rows_filtered")).alias("raw_rows"), "records", "latest_batch")
-
-
+    return ingest.source_stats(store.snapshot())
 
 
 @query("select 1 source_id, count(*) rows_read, count(*) filter (not regexp_matches(c_mktsegment, '^[A-M]')) rows_filtered, count(*) filter (regexp_matches(c_mktsegment, '^[A-M]')) records_written, 3 * count(*) filter (regexp_matches(c_mktsegment, '^[A-M]')) properties_written, 0::bigint properties_rejected from customer union all select 2, count(*), 0, count(*), count(*), count(*) from supplier")
