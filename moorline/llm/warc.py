@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import json
 import uuid
 import zlib
@@ -28,8 +27,9 @@ from .common import large_batches, materialise, open_fs, shared_dir, tune, write
 
 #: Entries of one run, samples that a run gives, and bytes that all buffers of one merge hold together.
 RUN_ENTRIES, RUN_SAMPLES, MERGE_BYTES = 100_000, 32, 32 << 20
-#: Entries of one range, about.
-RANGE_ENTRIES = 200_000
+#: Entries of one range, about; ranges at most, sampled keys at most that the driver chooses them by, and runs that one
+#: tree merges: of more, groups are merged into longer runs first.
+RANGE_ENTRIES, RANGES, SAMPLED, FAN_IN = 200_000, 20_000, 200_000, 64
 #: Pages without a capture time count from here, a second for each page_id.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -153,7 +153,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                 if i % step == 0:
                     samples.append(json.dumps([e[:5], place]))
                 lines.append(line)
-                place += len(line)
+                last, place = place, place + len(line)
+            samples.append(json.dumps([held[-1][:5], last]))  # the run's last key, so that ranges beyond it needn't look
             uri, size = write_bytes(folder, f"run-{name}-{number:04d}.jsonl", lines)
             return pa.RecordBatch.from_pydict({"uri": [uri], "n": [len(held)], "size": [size], "samples": pa.array([samples], pa.list_(pa.string()))})
 
@@ -200,36 +201,93 @@ def _slice(uri: str, start: int, end: int, low, high, buffer: int):
                     yield key, e
 
 
+def bounds_of(runs: DataFrame) -> list:
+    """The keys between ranges, from samples of all runs; of very many samples a part that their hash chooses."""
+    entries, sampled = runs.agg(F.sum("n"), F.sum(F.size("samples"))).first()
+    keys = runs.select(F.explode("samples").alias("x"))
+    if (sampled or 0) > SAMPLED:
+        keys = keys.where(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) < (SAMPLED << 20) // sampled)
+    listed = sorted({_sort_key(json.loads(r.x)[0]) for r in keys.collect()})
+    parts = max(1, min(len(listed), -(-(entries or 0) // RANGE_ENTRIES), RANGES))
+    return [listed[len(listed) * i // parts] for i in range(1, parts)]
+
+
+def slices_of(runs: DataFrame, bounds: list) -> DataFrame:
+    """part, uri, first, last: of each range the runs' bytes that may hold entries of it."""
+    schema = pa.schema([("part", pa.int64()), ("uri", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
+
+    def rows(batches):
+        for batch in batches:
+            for uri, size, samples in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = [(_sort_key(e), at) for e, at in map(json.loads, samples)]
+                keys = [k for k, _ in own]
+                for part in range(bisect_right(bounds, keys[0]), bisect_right(bounds, keys[-1]) + 1):
+                    start = own[max(0, bisect_right(keys, bounds[part - 1]) - 1)][1] if part else 0
+                    stop = bisect_left(keys, bounds[part]) if part < len(bounds) else len(own)
+                    yield part, uri, start, own[stop][1] if stop < len(own) else size
+
+    return runs.select("uri", "size", "samples").mapInArrow(lambda batches: large_batches(rows(batches), schema), "part bigint, uri string, first bigint, last bigint")
+
+
+class Merger:
+    """Merges the slices of one range: FAN_IN of them meet in a tree, whose output is a slice of the next level."""
+
+    def __init__(self, folder: str, low, high):
+        self.folder, self.low, self.high = folder, low, high
+        self.levels: list[list[tuple[str, int, int]]] = [[]]
+        self.made: list[str] = []
+
+    def _tree(self, slices: list[tuple[str, int, int]]) -> LoserTree:
+        buffer = max(4096, min(1 << 20, MERGE_BYTES // max(1, len(slices))))
+        return LoserTree([_slice(uri, a, b, self.low, self.high, buffer) for uri, a, b in slices])
+
+    def _run(self, slices: list[tuple[str, int, int]]) -> tuple[str, int, int]:
+        uri, size = write_bytes(self.folder, f"merged-{uuid.uuid4().hex}.jsonl", (json.dumps(e, ensure_ascii=False).encode() + b"\n" for _, e in self._tree(slices)))
+        self.made.append(uri)
+        return uri, 0, size
+
+    def add(self, one: tuple[str, int, int], level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(one)
+        if len(self.levels[level]) == FAN_IN:
+            full, self.levels[level] = self.levels[level], []
+            self.add(self._run(full), level + 1)
+
+    def entries(self):
+        """All entries in order; what was written on the way is deleted after the last."""
+        left = [x for level in self.levels for x in level]
+        while len(left) > FAN_IN:
+            left = [*left[FAN_IN:], self._run(left[:FAN_IN])]
+        yield from (e for _, e in self._tree(left))
+        for uri in self.made:
+            filesystem, path = open_fs(uri)
+            filesystem.delete_file(path)
+
+
 def merge(runs: DataFrame) -> DataFrame:
     """The entries of all runs in order: part (of the key range), seq (in the range) and the entry's fields."""
-    spark = runs.sparkSession
-    listed = runs.collect()  # a row and a bounded number of samples for each run
-    samples = [[(_sort_key(e), at) for e, at in map(json.loads, r.samples)] for r in listed]
-    keys = list(heapq.merge(*[[k for k, _ in s] for s in samples]))
-    parts = max(1, min(len(keys), -(-sum(r.n for r in listed) // RANGE_ENTRIES)))
-    bounds = [None, *[keys[len(keys) * i // parts] for i in range(1, parts)], None]
-    tasks = []
-    for part, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        slices = []
-        for r, own in zip(listed, samples):
-            at = [k for k, _ in own]
-            start = own[max(0, bisect_right(at, low) - 1)][1] if low is not None and own else 0
-            i = bisect_left(at, high) if high is not None else len(own)
-            slices.append((r.uri, start, own[i][1] if i < len(own) else r.size))
-        tasks.append((part, json.dumps([low, high]), json.dumps(slices)))
+    folder = shared_dir(runs.sparkSession, "merges")
+    bounds = bounds_of(runs)
+    shared = runs.sparkSession.sparkContext.broadcast(bounds)
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("key", pa.string()), ("at", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("first", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64())])
 
-    def run(batches):
+    def rows(batches):
+        now, own = None, None
         for batch in batches:
-            for part, ends, slices in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                low, high = (None if x is None else tuple(x) for x in json.loads(ends))
-                own = [s for s in json.loads(slices) if s[1] < s[2]]
-                buffer = max(4096, min(1 << 20, MERGE_BYTES // max(1, len(own))))
-                merged = LoserTree([_slice(uri, a, b, low, high, buffer) for uri, a, b in own])
-                yield from large_batches(((part, i, *e) for i, (_, e) in enumerate(merged)), schema)
-
-    frame = spark.createDataFrame(tasks, "part bigint, ends string, slices string").repartition(len(tasks), "part")
-    return frame.mapInArrow(run, f"part bigint, seq bigint, {_ENTRY}")
+            for part, uri, first, last in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if part != now:
+                    if own:
+                        yield from ((now, i, *e) for i, e in enumerate(own.entries()))
+                    ends = [None, *shared.value, None]
+                    now, own = part, Merger(folder, ends[part], ends[part + 1])
+                if first < last:
+                    own.add((uri, first, last))
+        if own:
+            yield from ((now, i, *e) for i, e in enumerate(own.entries()))
+
+    dealt = slices_of(runs, bounds).repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "uri")
+    return dealt.mapInArrow(lambda batches: large_batches(rows(batches), schema), f"part bigint, seq bigint, {_ENTRY}")
 
 
 def read(index: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -67,6 +68,18 @@ def test_quality_of_nothing(spark, docs, none):
     assert quality.score(none, labels).count() == 0
 
 
+def test_quality_learns_from_a_sample_and_counts_every_label(spark, monkeypatch):
+    rows = [(i, prose(60, i) + ".") for i in range(400)] + [(1000 + i, " ### ".join(prose(30, i).split()[:25]).upper()) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in rows] + [(3, 0), (3, 1)], "doc_id bigint, quality int")
+    whole = quality.marked(labels).count()
+    assert whole == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows) + 2 * (zlib.crc32(b"3") % 5 != 0)
+    monkeypatch.setattr(quality, "SAMPLE", 200)
+    assert 120 < quality.marked(labels).count() < 280
+    got = quality.score(table, labels).collect()
+    assert len(got) == len(rows) and sum(r.predicted == int(r.doc_id < 1000) for r in got) / len(got) > 0.97
+
+
 def test_quality_matches_plain_densities():
     r = np.random.default_rng(1)
     d = len(quality.NAMES)
@@ -315,6 +328,26 @@ def test_index_is_ordered_over_runs_and_ranges(spark, tmp_path, monkeypatch):
     assert len(keys) == 300 and keys == sorted(keys) and len({r.part for r in index}) > 3
 
 
+def test_index_of_more_runs_than_a_tree_takes(spark, tmp_path, monkeypatch):
+    for name, value in (("RANGE_ENTRIES", 60), ("FAN_IN", 3), ("RUN_ENTRIES", 11), ("RUN_SAMPLES", 4), ("SAMPLED", 40)):
+        monkeypatch.setattr(warc, name, value)
+    rows = [(i, f"http://{'hot' if i % 3 else 'h' + str(i % 7)}.example/{i % 11}", f"p{i}") for i in range(400)]
+    runs = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6), f"file://{tmp_path}/w")
+    # A worker has the module's own values, so the merge is also run here, over every range.
+    bounds = warc.bounds_of(runs)
+    listed = runs.collect()
+    got = []
+    for part, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+        own = warc.Merger(f"file://{tmp_path}/m{part}", low, high)
+        for r in listed:
+            own.add((r.uri, 0, r.size))
+        got += [(e[0], e[1], e[2]) for e in own.entries()]
+        assert not list((tmp_path / f"m{part}").glob("*"))
+    assert len(got) == 400 and got == sorted(got) and len(bounds) > 2
+    index = warc.merge(runs).collect()
+    assert sorted((r.key, r["at"], r.page_id) for r in index) == got
+
+
 def test_loser_tree():
     own = random.Random(1)
     for k in (0, 1, 2, 3, 7, 16):
@@ -602,6 +635,37 @@ def test_fingerprints(spark, docs, none, monkeypatch):
     assert imatch.report(none).count() == 0 and imatch.report(docs.where("doc_id = 4")).first().near_next == 1.0
 
 
+def test_fingerprints_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RAREST", 0.05)
+    monkeypatch.setattr(imatch, "COMMONEST", 0.6)
+    own = random.Random(9)
+    some = WORDS[:120]
+    texts = [" ".join(own.choice(some) for _ in range(own.randint(0, 60))) for _ in range(60)] + ["", "nothing known", None]
+    rows = list(enumerate(texts))
+    held = collections.Counter(w for t in texts for w in set((t or "").split()))
+    band = sorted(w for w, n in held.items() if 0.05 * len(texts) <= n <= 0.6 * len(texts))
+    lots = [chance for number, chance in imatch.LEXICONS for _ in range(number)]
+
+    def plain(text):
+        mine = [w for w in band if w in set(text.split())]
+        if not mine:
+            return "text:" + hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
+        out = []
+        for k, chance in enumerate(lots):
+            raw = hashlib.blake2b
+            kept = [w for w in mine if int.from_bytes(raw(w.encode(), person=bytes([k // 32]), digest_size=64).digest()[2 * (k % 32) : 2 * (k % 32) + 2], "little") < 65536 // chance]
+            out.append(f"{xxhash.xxh3_64_intdigest(' '.join(kept).encode()) & 0xFFFFFFFF:08x}" if kept else "-")
+        return ":".join(out)
+
+    got = {r.doc_id: r for r in imatch.report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    for i, text in rows:
+        text, follower = text or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        other = text[: len(text) - half] + follower[:half]
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (plain(text), plain(other))
+        assert got[i].near_edited == imatch.likeness(plain(text), plain(other)) and got[i].near_next == imatch.likeness(plain(text), plain(follower))
+
+
 def test_lexicon_is_the_band(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RAREST", 0.05)
     monkeypatch.setattr(imatch, "COUNTED", 50)
