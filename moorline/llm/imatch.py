@@ -30,9 +30,10 @@ RAREST, COMMONEST = 0.002, 0.25
 #: How many lexicons keep a term with which chance.
 LEXICONS = [(4, 2), (8, 8), (16, 32), (24, 128), (24, 512)]
 #: Distinct terms that a task counts before it emits; candidate terms that a task may hold, more are counted by a shuffle.
-COUNTED, HELD = 300_000, 3_000_000
-#: Characters of the documents of one task when neighbours meet.
-TASK_CHARS = 16_000_000
+COUNTED, HELD = 300_000, 500_000
+#: Characters of the documents of one task when neighbours meet, and tasks at most: the driver holds a bound for each,
+#: and a task streams its documents, however many they are.
+TASK_CHARS, TASKS = 16_000_000, 20_000
 
 
 def _counts(docs: DataFrame, keep: frozenset | None, share: float) -> DataFrame:
@@ -143,7 +144,7 @@ def report(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     least = -(1 << 63)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(1, min(n, -(-chars // TASK_CHARS)))
+    parts = max(1, min(n, -(-chars // TASK_CHARS), TASKS))
     cuts = (rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100_000)).first()[0] if parts > 1 else None) or []
     bounds = np.array(sorted(set(cuts)), dtype=np.int64)
 
