@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, materialise, tune
+from .common import append, tune
 
 #: Statistics of a text, in the order of features().
 NAMES = ("length", "upper", "digits", "symbols", "loud", "stops", "foreign", "spaces", "breaks", "word_length", "word_spread", "short_words", "variety", "entropy", "lines", "bare")
@@ -25,6 +25,8 @@ POOLED, RIDGE = 0.1, 0.02
 #: Divides the log-density difference: correlated statistics make raw discriminants too sure.
 TEMPERATURE = 4.0
 THRESHOLD = 0.3
+#: Labelled rows to learn from, about; of more, those whose ids' hashes come first. Only their statistics are worked out to learn.
+SAMPLE = 500_000
 
 _UPPER, _LOWER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
@@ -112,13 +114,23 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> Model:
-    """Learns from all labelled rows that aren't held out; only each class's sums reach the driver."""
+def marked(labels: DataFrame) -> DataFrame:
+    """doc_id, quality (0 or 1) of the labelled rows that count, of which SAMPLE are taken by a hash of the id."""
+    rows = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    n = rows.count()
+    return rows if n <= SAMPLE else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (SAMPLE << 20) // n)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learns from labelled rows that aren't held out; only each class's sums reach the driver.
+
+    A document with several labels counts once for each; the texts of documents without any aren't looked at."""
     import pyarrow as pa
 
     d = len(NAMES)
-    marked = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = stats.where(~held_out()).join(marked, "doc_id").select("quality", "stats")
+    known = marked(labels)
+    own = docs.select("doc_id", "text").join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = with_features(own).join(known, "doc_id").select("quality", "stats")
 
     def partial(batches):
         total = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
@@ -138,18 +150,19 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     return model_from(sums)
 
 
+def _scored(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    return append(docs, "text", lambda texts: model.scores(np.array([features(t) for t in texts])) if texts else [], "double")
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     tune(docs.sparkSession)
-    stats = materialise(with_features(docs), "quality")
-    model = fit(stats, labels)
-    table, made = append(stats, "stats", lambda rows: model.scores(np.array(rows)) if rows else [], "double")
+    table, made = _scored(docs.select("doc_id", "text"), fit(docs, labels))
     return table.select("doc_id", held_out().alias("held_out"), F.col(made).alias("score"), (F.col(made) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier keeps."""
     tune(docs.sparkSession)
-    model = fit(materialise(with_features(docs), "quality"), labels)
-    table, made = append(docs, "text", lambda texts: model.scores(np.array([features(t) for t in texts])) if texts else [], "double")
+    table, made = _scored(docs, fit(docs, labels))
     return table.where(F.col(made) >= THRESHOLD).drop(made)
