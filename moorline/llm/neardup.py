@@ -39,6 +39,8 @@ SURE = 4.5
 BLOCK, STREAM = 1000, 20_000
 #: Pairs compared at once, and what a row of the second round is.
 CELLS = 1 << 16
+#: Whole-number ids, by their count, that are sent to every executor so that texts needn't be dealt out by id.
+SENT_IDS = 4_000_000
 HELD, MAIN, APART = 0, 1, 2
 _SEED = np.random.default_rng(20240501)
 _A, _C = (_SEED.integers(0, 1 << 32, size=(BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -178,15 +180,20 @@ def _close(pairs: DataFrame, active: DataFrame, share: float) -> DataFrame:
     return both.mapInArrow(run, both.select("a", "b", "rep_a", "rep_b").schema)
 
 
-def _texts(docs: DataFrame, active: DataFrame, words: int) -> DataFrame:
-    """digest, text: one text of each of these classes."""
+def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined with a written table of doc_ids: if its rows are few, counted before, texts stay where they are."""
+    few = isinstance(ids.schema["doc_id"].dataType, IntegralType) and ids.count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
+def _texts(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """digest, text: one text of each class of these documents."""
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([digest(shingles(t, words)) for t in batch.column(1).to_pylist()], pa.binary()), batch.column(1)], names=["digest", "text"])
 
-    ids = active.select(F.col("rep").alias("doc_id")).distinct()
-    rows = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "digest binary, text string")
+    rows = _joined(docs.select("doc_id", "text"), ids, "left_semi").mapInArrow(run, "digest binary, text string")
     return rows.groupBy("digest").agg(F.first("text").alias("text"))
 
 
@@ -328,7 +335,8 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, rows: int, wo
     wanted = classes.join(members.select("digest").distinct().coalesce(parts), "digest").select("digest", F.col("rep").alias("doc_id"))
     active = known.join(wanted, ["digest", "doc_id"]).select("digest", F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch")
     active = materialise(active.dropDuplicates(["digest"]).coalesce(parts), "active")
-    texts = materialise(_texts(docs, active, words).coalesce(2 * parts), "texts")
+    ids = materialise(active.select(F.col("rep").alias("doc_id")).distinct().coalesce(parts), "ids")
+    texts = materialise(_texts(docs, ids, words).coalesce(2 * parts), "texts")
 
     stars = materialise(_close(_star_pairs(members, parts), active, share).coalesce(parts), "stars")
     links = materialise(_confirmed(stars, texts, words, percent).union(tied).coalesce(2 * parts), "links")
@@ -338,7 +346,7 @@ def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, rows: int, wo
     if not more.isEmpty():
         first, component = component, materialise(components(links.union(more)), "components")
         discard(first)
-    discard(tied, members, active, texts, stars, links, cross, more)
+    discard(tied, members, active, ids, texts, stars, links, cross, more)
     return component
 
 
@@ -360,5 +368,5 @@ def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     Rows that share the doc_id that stays all stay, as do rows with a null doc_id.
     """
-    gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct(), "gone")
+    return _joined(docs, gone, "left_anti").select(*docs.columns)
