@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moorline.api import Service
 from moorline.functions import geo, text
 from moorline.functions.transforms import FLAGS, apply_chain
-from moorline.operators import blocking, cluster, evaluate, fusion, graph, ingest, lineage, links, mapping, scoring
+from moorline.operators import blocking, cluster, evaluate, fusion, graph, ingest, lineage, links, mapping, resolve, scoring
 from moorline.plans import executor
 from moorline.plans.ir import Query
 from moorline.schema.mapping import Bundle
@@ -112,9 +113,9 @@ def index_range(spark, sf_dir):
     return found(spark, sf_dir, {"start": {"type": "Customer", "filter": {"balance": {"gte": 1000, "lt": 2500.5}}}})
 
 
-@query("select p_partkey::varchar entity_id, p_name display from part where starts_with(p_name, 'Part')  or starts_with(lower(p_name), 'part')")
+@query(f"{_CUSTOMER} where starts_with(lower(c_name), 'customer#00000000')")
 def index_prefix(spark, sf_dir):
-    return found(spark, sf_dir, {"start": {"type": "Part", "filter": {"name": {"prefix": "pArT"}}}})
+    return found(spark, sf_dir, {"start": {"type": "Customer", "filter": {"name": {"prefix": "cUstOmEr#00000000"}}}})
 
 
 @query(_CUSTOMER)
@@ -339,7 +340,7 @@ def tokens_contained(spark, sf_dir):
     return _neighbours(spark, sf_dir).select("a", "b", text.tokens_contained(F.col("x"), F.col("y")).alias("contained"))
 
 
-@query()
+@query(f"select a, b, round(jaro_similarity(p, q), 9) jaro, round(jaro_winkler_similarity(p, q), 9) jaro_winkler from (select a, b, array_to_string(x, ' ') p, array_to_string(y, ' ') q from ({_TWO}))")
 def jaro_winkler(spark, sf_dir):
     ship(spark)
     p = _neighbours(spark, sf_dir).select("a", "b", F.array_join("x", " ").alias("p"), F.array_join("y", " ").alias("q"))
@@ -495,14 +496,14 @@ _CELL = "(select o_custkey part, o_orderkey % 5 source_id, o_orderkey k, o_order
 _SHORT = lambda: F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1))
 
 
-def _fused(spark, sf_dir, prop: str, slot: str, value) -> DataFrame:
-    """A property of customers, fused from their orders by the property's rule."""
+def _fused(spark, sf_dir, prop: str, slot: str, value, keep: bool = False) -> DataFrame:
+    """A property of customers, fused from their orders by the property's rule; keep: with the rejected cells."""
     o, key, source = table(spark, sf_dir, "orders"), F.col("o_orderkey").alias("key_hash"), (F.col("o_orderkey") % 5).cast("int").alias("source_id")
     slots = [(value if s == slot else F.lit(None)).cast(t).alias(s) for s, t in mapping.SLOT_TYPES.items()]
     cells = o.select(source, (F.col("o_orderkey") % 9).alias("batch_id"), F.col("o_orderkey").alias("row_seq"), F.lit("Item").alias("type"), key, F.lit(prop).alias("prop"), *slots, F.lit("").alias("raw"), F.lit("c").alias("column"), F.array().cast("array<int>").alias("chain"), F.lit(0).cast("bigint").alias("chain_fp"), F.lit(None).cast("string").alias("error"))
     clusters = o.select(F.lit("Item").alias("type"), F.struct(source, key).alias("ref"), F.col("o_custkey").cast("string").alias("cluster"))
     names = clusters.select(F.col("cluster").cast("bigint").alias("part"), fusion.entity_id(F.col("cluster"), F.col("type")).alias("entity_id")).distinct()
-    return fusion.fuse(cells, clusters, Ontology.read(_ITEM), _TRUST).join(names, "entity_id").select("part", slot, "confidence", F.size("rejected").alias("rejected"), "cluster_size")
+    return fusion.fuse(cells, clusters, Ontology.read(_ITEM), _TRUST).join(names, "entity_id").select("part", slot, "confidence", "cluster_size", *["rejected"] * keep)
 
 
 @query(f"select part, s, trust confidence from (select *, row_number() over (partition by part order by trust desc, source_id, k) r from {_CELL}) where r = 1 and part in (select part from {_CELL} group by 1 having count(*) > 1)")
@@ -510,6 +511,13 @@ def fuse_most_trusted(spark, sf_dir):
     return _fused(spark, sf_dir, "trusted", "s", _SHORT()).where("cluster_size > 1").select("part", "s", "confidence")
 
 
+@query(f"with r as (select *, row_number() over (partition by part order by trust desc, source_id, k) r from {_CELL}) select l.part, l.row_seq, l.s \"value\", 'lower source trust (' || printf('%.2f', l.trust) || ' < ' || printf('%.2f', w.trust) || ')' reason from r l join r w on w.part = l.part and w.r = 1 where l.s <> w.s")
+def fuse_rejected(spark, sf_dir):
+    """What lost under trust, each cell with its reason."""
+    lost = _fused(spark, sf_dir, "trusted", "s", _SHORT(), keep=True).select("part", F.explode("rejected").alias("x"))
+    return lost.select("part", "x.row_seq", "x.value", "x.reason")
+
+
 @query(f"select part, s from (select *, row_number() over (partition by part order by batch_id desc, row_seq desc, source_id, k) r from {_CELL}) where r = 1")
 def fuse_most_recent(spark, sf_dir):
     return _fused(spark, sf_dir, "recent", "s", _SHORT()).select("part", "s")
@@ -656,9 +664,50 @@ def type_counts(spark, sf_dir):
     return reduce(DataFrame.unionByName, [g.entity(t).agg(F.lit(t).alias("type"), F.count("*").alias("n")) for t in ("Customer", "Supplier", "Nation", "Order")])
 
 
-@query("select round(1 - count(distinct l_partkey) / count(*)::double, 12) dedup_ratio from lineitem")
+_SHIP = {"version": 1, "entity_types": {"Vessel": {"id": 1, "properties": {"name": {"id": 1, "type": "string", "title": True, "fuse": "most_trusted"}, "imo": {"id": 2, "type": "string", "indexed": True}, "mmsi": {"id": 3, "type": "string"}, "call_sign": {"id": 4, "type": "string"}, "flag": {"id": 5, "type": "string"}}}, "Port": {"id": 2, "properties": {"name": {"id": 6, "type": "string", "title": True, "fuse": "most_trusted"}, "locode": {"id": 7, "type": "string"}, "alt_names": {"id": 8, "type": "string[]"}, "country": {"id": 9, "type": "string"}, "lat": {"id": 10, "type": "double", "fuse": "numeric_median"}, "lon": {"id": 11, "type": "double", "fuse": "numeric_median"}}}}}
+_VESSEL = {"target_type": "Vessel", "properties": {"name": {"from": "n", "transform": ["trim"]}, "imo": {"from": "i", "transform": ["trim"]}, "mmsi": {"from": "m", "transform": ["to_string"]}}}
+_PORT = {"target_type": "Port", "properties": {"name": {"from": "n", "transform": ["title_case"]}, "locode": {"from": "c", "transform": ["trim"]}, "lat": {"from": "lat", "transform": ["to_double"]}, "lon": {"from": "lon", "transform": ["to_double"]}}}
+_FLEETS = [
+    {"source": {"id": "register", "source_id": 1, "connector": "memory", "natural_key": ["k"], "trust": 0.9}, "mappings": [_VESSEL]},
+    {"source": {"id": "broadcast", "source_id": 2, "connector": "memory", "natural_key": ["k"], "trust": 0.5}, "mappings": [_VESSEL]},
+    *[{"source": {"id": f"ports{i}", "source_id": 2 + i, "connector": "memory", "natural_key": ["k"], "trust": 0.9 - i / 10}, "mappings": [_PORT]} for i in (1, 2, 3)],
+]
+
+
+def _resolver(spark: SparkSession, given: dict[str, DataFrame]) -> tuple[Store, Bundle, resolve.Resolution]:
+    """A store with the given sources' tables, resolved and published."""
+    ship(spark)
+    bundle = Bundle.read(_SHIP, _FLEETS)
+    store = Store(spark, shared_dir(spark, "store"))
+    for name, rows in given.items():
+        ingest.ingest(store, bundle, bundle.sources[name], materialise(readers.from_table(rows), "rows"), header=rows.columns)
+    at = store.snapshot()
+    of = resolve.resolve(at.table("cells"), at.table("link_refs"), bundle)
+    resolve.publish(store, of)
+    return store, bundle, of
+
+
+@query("select count(*) entities, 2 * count(*) source_records, 0.5::double dedup_ratio from supplier")
 def dedup_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.round(F.when(F.count("*") == 0, 0.0).otherwise(1 - F.countDistinct("l_partkey") / F.count("*")), 12).alias("dedup_ratio"))
+    """Suppliers as vessels of two sources that agree on a number, resolved end to end; counted by the service."""
+    s = table(spark, sf_dir, "supplier")
+    fleet = lambda name: s.select(F.col("s_suppkey").alias("k"), name.alias("n"), F.lpad(F.col("s_suppkey").cast("string"), 7, "0").alias("i"), (F.col("s_suppkey") + 200_000_000).alias("m"))
+    store, bundle, _ = _resolver(spark, {"register": fleet(F.concat(F.lit("Ship "), F.col("s_suppkey"))), "broadcast": fleet(F.concat(F.lit("M/V SHIP "), F.col("s_suppkey")))})
+    told = Service(store, bundle).stats()
+    return spark.createDataFrame([(told["entities"]["Vessel"], told["source_records"], told["dedup_ratio"])], "entities bigint, source_records bigint, dedup_ratio double")
+
+
+@query("select n_nationkey nation, 'ports' || a pa, 'ports' || b pb, case when b = 3 then 'non_match' else 'match' end decision, b = 3 vetoed from nation, (values (1, 2), (1, 3), (2, 3)) v(a, b)")
+def resolve_ports(spark, sf_dir):
+    """Nations as ports of three sources: two agree on code, name and place, the third has another code, which is a veto."""
+    n = table(spark, sf_dir, "nation")
+    code = lambda c: F.concat(F.lit(c), F.lpad(F.conv(F.col("n_nationkey").cast("string"), 10, 5).cast("string"), 4, "A"))
+    ports = lambda c, far: n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n"), code(c).alias("c"), (F.col("n_nationkey") * 3 - 40 + far).alias("lat"), (F.col("n_nationkey") * 7 - 90).alias("lon"))
+    _, _, of = _resolver(spark, {"ports1": ports("X", 0.0), "ports2": ports("X", 0.01), "ports3": ports("Y", 0.0)})
+    names = n.select(F.col("n_nationkey").cast("bigint").alias("nation"), F.xxhash64(F.col("n_nationkey").cast("string")).alias("key"))
+    same = of.scored.where("type = 'Port' and a.key_hash = b.key_hash").join(names, F.col("a.key_hash") == F.col("key"))
+    source = lambda c: F.concat(F.lit("ports"), F.col(f"{c}.source_id") - 2)
+    return same.select("nation", source("a").alias("pa"), source("b").alias("pb"), "decision", "vetoed")
 
 
 __all__ = ["ORACLES", "QUERIES", "flagship", "query", "table", "world"]

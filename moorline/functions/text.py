@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,43 +68,67 @@ def tokens_contained(a: Column, b: Column) -> Column:
     return (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
 
 
-def jaro_of(a: str, b: str) -> float:
-    """Jaro similarity of two texts' bytes; half transpositions count."""
-    x, y = a.encode(), b.encode()
-    if x == y:
-        return 1.0
-    if not x or not y:
-        return 0.0
-    reach = max(max(len(x), len(y)) // 2, 1) - 1
-    taken = [False] * len(y)
-    first = []
-    for i, c in enumerate(x):
-        for j in range(max(0, i - reach), min(len(y), i + reach + 1)):
-            if not taken[j] and y[j] == c:
-                taken[j] = True
-                first.append(c)
-                break
-    m = len(first)
-    if not m:
-        return 0.0
-    second = [c for c, t in zip(y, taken) if t]
-    moved = sum(p != q for p, q in zip(first, second)) / 2
-    return (m / len(x) + m / len(y) + (m - moved) / m) / 3
-
-
-def jaro_winkler_of(a: str, b: str, weight: float = 0.1) -> float:
+#: Pairs compared at once, and bytes of one side of them.
+PAIRS, CELLS = 512, 1 << 22
+WEIGHT, LEAST = 0.1, 0.7
+
+
+def _bytes(texts: list[bytes], fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as rows of bytes, and their lengths; fill stands behind an end."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    out = np.full((len(texts), max(int(sizes.max(initial=0)), 1)), fill, dtype=np.int16)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    return out, sizes
+
+
+def _packed(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen bytes of each row moved to its front, -1 behind them."""
+    out = np.full(x.shape, -1, dtype=np.int16)
+    row, column = np.nonzero(chosen)
+    out[row, (np.cumsum(chosen, axis=1) - 1)[row, column]] = x[row, column]
+    return out
+
+
+def jaro_of(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Jaro similarity of pairs of texts' bytes, all pairs a byte of a at a time; half transpositions count."""
+    (x, n), (y, m) = _bytes(a, -2), _bytes(b, -3)
+    width = min(x.shape[1], y.shape[1])
+    reach = np.maximum(np.maximum(n, m) // 2, 1) - 1
+    met, taken = np.zeros(x.shape, dtype=bool), np.zeros(y.shape, dtype=bool)
+    places = np.arange(y.shape[1])
+    for i in range(x.shape[1]):
+        fits = (y == x[:, i, None]) & ~taken & (np.abs(places - i) <= reach[:, None])
+        at = fits.argmax(axis=1)
+        met[:, i] = fits[np.arange(len(at)), at]
+        taken[np.flatnonzero(met[:, i]), at[met[:, i]]] = True
+    common = met.sum(axis=1)
+    moved = (_packed(x, met)[:, :width] != _packed(y, taken)[:, :width]).sum(axis=1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = (common / n + common / m + (common - moved) / common) / 3
+    same = np.array([p == q for p, q in zip(a, b)], dtype=bool)
+    return np.where(same, 1.0, np.where(common == 0, 0.0, out))
+
+
+def jaro_winkler_of(a: list[bytes], b: list[bytes]) -> np.ndarray:
     base = jaro_of(a, b)
-    if base < 0.7:
-        return base
-    x, y = a.encode()[:4], b.encode()[:4]
-    same = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-    return base + same * weight * (1 - base)
+    (x, _), (y, _) = _bytes([t[:4] for t in a], -2), _bytes([t[:4] for t in b], -3)
+    width = min(x.shape[1], y.shape[1])
+    same = np.cumprod(x[:, :width] == y[:, :width], axis=1).sum(axis=1)
+    return np.where(base < LEAST, base, base + same * WEIGHT * (1 - base))
 
 
-def _pairwise(of: Callable[[str, str], float], a: Column, b: Column) -> Column:
+def _pairwise(of: Callable[[list[bytes], list[bytes]], np.ndarray], a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else of(p, q) for p, q in zip(x, y)], dtype="float64")
+        # Equal pairs are compared once, and pairs of like lengths together.
+        pairs = {(p, q) for p, q in zip(x, y) if p is not None and q is not None}
+        told = sorted(((p.encode(), q.encode(), p, q) for p, q in pairs), key=lambda t: max(len(t[0]), len(t[1])))
+        found: dict[tuple[str, str], float] = {}
+        while told:
+            n = max(1, min(PAIRS, CELLS // max(1, len(told[-1][0]), len(told[-1][1]))))
+            own, told = told[-n:], told[:-n]
+            found.update(zip(((p, q) for *_, p, q in own), of([t[0] for t in own], [t[1] for t in own]).tolist()))
+        return pd.Series([found.get((p, q)) for p, q in zip(x, y)], dtype="float64")
 
     return run(a, b)
 

@@ -58,6 +58,11 @@ def block_sizes(keys: DataFrame) -> DataFrame:
     return keys.groupBy("type", "generator", "value").agg(F.count("*").alias("n"))
 
 
+def block(keys: DataFrame, generator: str, value: str) -> DataFrame:
+    """The records (type, ref) of one block."""
+    return keys.where((F.col("generator") == generator) & (F.col("value") == value)).select("type", "ref")
+
+
 def block_stats(keys: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     """blocking_keys, blocks, largest_block, purged_blocks."""
     n = F.col("n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from moorline.stage import ship
 
+from .evaluate import with_rates
 from .graph import components
 
 #: Records of one connected component that the greedy step takes in one task; see constrained().
@@ -100,3 +101,12 @@ def against_golden(clusters: DataFrame, golden: DataFrame) -> DataFrame:
     x, y = clusters.select(F.col("ref").alias("a"), F.col("cluster").alias("p")), clusters.select(F.col("ref").alias("b"), F.col("cluster").alias("q"))
     met = golden.join(x, "a", "left").join(y, "b", "left").select((F.col("label") == "match").alias("true"), F.coalesce(F.col("p") == F.col("q"), F.lit(False)).alias("said"))
     return met.agg(F.count_if(F.expr("true and said")).alias("tp"), F.count_if(F.expr("not true and said")).alias("fp"), F.count_if(F.expr("not true and not said")).alias("tn"), F.count_if(F.expr("true and not said")).alias("fn"))
+
+
+def metrics(clusters: DataFrame, golden: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """One row: cluster_stats, refused_merges, and counts and rates of the golden pairs by whether they share a cluster."""
+    merges = F.lit(0).cast("bigint") if refused is None else F.col("refused_merges")
+    out = cluster_stats(clusters).crossJoin(with_rates(against_golden(clusters, golden)))
+    if refused is not None:
+        out = out.crossJoin(refused.agg(F.count("*").alias("refused_merges")))
+    return out.select("clusters", "largest", "singletons", "implied_pairs", merges.alias("refused_merges"), "tp", "fp", "fn", "precision", "recall", "f1")

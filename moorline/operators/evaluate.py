@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moorline.functions import hashing
 from moorline.schema.mapping import Bundle
 from moorline.sources.rows import split_csv
 
@@ -17,7 +18,9 @@ from .scoring import Config, Weights
 
 
 def golden_pairs(bundle: Bundle, source: str | Path, spark) -> DataFrame:
-    """a, b, label, truth_id of a golden file (record_a, record_b, label, truth_id); an unknown source is an error."""
+    """a, b, label, truth_id, split of a golden file (record_a, record_b, label, truth_id); an unknown source is an error.
+
+    A golden file is small and read on the driver; its pairs' split is by the portable hash of their keys' parts."""
     text = Path(source).read_text() if isinstance(source, Path) else source
     header, *lines = [cells for _, cells in split_csv(text)]
 
@@ -32,14 +35,16 @@ def golden_pairs(bundle: Bundle, source: str | Path, spark) -> DataFrame:
         row = dict(zip(header, cells))
         if row["label"] not in ("match", "non_match"):
             raise ValueError(f"unknown label {row['label']!r}")
-        rows.append((*ref(row["record_a"]), *ref(row["record_b"]), row["label"], row.get("truth_id", "")))
-    table = spark.createDataFrame(rows, "sa int, ka string, sb int, kb string, label string, truth_id string")
+        both = ref(row["record_a"]), ref(row["record_b"])
+        held = hashing.holdout(tuple((s, hashing.hash64_fields(k.split(SEPARATOR))) for s, k in both))
+        rows.append((*both[0], *both[1], row["label"], row.get("truth_id", ""), "holdout" if held else "train"))
+    table = spark.createDataFrame(rows, "sa int, ka string, sb int, kb string, label string, truth_id string, split string")
     side = lambda s, k: F.struct(F.col(s).alias("source_id"), F.xxhash64(k).alias("key_hash"))
-    return table.select(F.least(side("sa", "ka"), side("sb", "kb")).alias("a"), F.greatest(side("sa", "ka"), side("sb", "kb")).alias("b"), "label", "truth_id")
+    return table.select(F.least(side("sa", "ka"), side("sb", "kb")).alias("a"), F.greatest(side("sa", "ka"), side("sb", "kb")).alias("b"), "label", "truth_id", "split")
 
 
 def split(percent: int = 20) -> Column:
-    """holdout or train, by a hash of the ordered pair."""
+    """holdout or train, by a hash of the ordered pair, for labels that weren't read from a golden file."""
     told = F.concat_ws("|", *[F.col(c).cast("string") for c in ("a.source_id", "a.key_hash", "b.source_id", "b.key_hash")])
     return F.when(F.pmod(F.xxhash64(told), F.lit(100)) < percent, "holdout").otherwise("train")
 
@@ -57,9 +62,13 @@ def with_rates(matrix: DataFrame) -> DataFrame:
     return matrix.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "accuracy": ratio(tp + tn, tp + fp + tn + fn)})
 
 
+def _split_of(golden: DataFrame) -> Column:
+    return F.col("split") if "split" in golden.columns else split()
+
+
 def evaluate(scored: DataFrame, golden: DataFrame) -> DataFrame:
     """Rates for holdout, train and overall."""
-    met = golden.join(scored.select("a", "b", "score", "decision"), ["a", "b"], "left").withColumn("split", split())
+    met = golden.join(scored.select("a", "b", "score", "decision"), ["a", "b"], "left").withColumn("split", _split_of(golden))
     parts = confusion(met, "split").unionByName(confusion(met.withColumn("split", F.lit("overall")), "split"))
     return with_rates(parts)
 
@@ -102,5 +111,5 @@ def tune(features: list[dict[str, float]], labels: list[bool], vetoed: list[bool
 
 
 def tune_pairs(scored: DataFrame, golden: DataFrame, config: Config, type_name: str, **options) -> tuple[Weights, float]:
-    rows = golden.join(scored.where(F.col("type") == type_name).select("a", "b", "features", "vetoed"), ["a", "b"]).where(split() == "train").select("label", "features", "vetoed").collect()
+    rows = golden.join(scored.where(F.col("type") == type_name).select("a", "b", "features", "vetoed"), ["a", "b"]).where(_split_of(golden) == "train").select("label", "features", "vetoed").collect()
     return tune([{f["name"]: f["value"] for f in r.features} for r in rows], [r.label == "match" for r in rows], [r.vetoed for r in rows], config.types[type_name], **options)

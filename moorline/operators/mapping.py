@@ -112,6 +112,12 @@ def latest(cells: DataFrame) -> DataFrame:
     return joined.where((F.col("batch_id") == F.col("new.batch_id")) & (F.col("row_seq") == F.col("new.row_seq"))).drop("new")
 
 
+def of_source(cells: DataFrame, source_id: int, type_name: str | None = None) -> DataFrame:
+    """One source's cells, of one type or all: scans are pruned by the source."""
+    own = cells.where(F.col("source_id") == source_id)
+    return own if type_name is None else own.where(F.col("type") == type_name)
+
+
 def records(cells: DataFrame, ontology: Ontology, type_name: str) -> DataFrame:
     """A row for each record of a type, with a typed column for each property."""
     aggregates = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -16,6 +17,7 @@ from moorline.schema.ontology import Ontology, Property
 OPERATORS = {"eq": "eq", "=": "eq", "ne": "ne", "!=": "ne", "lt": "lt", "<": "lt", "lte": "lte", "<=": "lte", "gt": "gt", ">": "gt", "gte": "gte", ">=": "gte", "contains": "contains", "starts_with": "starts_with", "prefix": "starts_with"}
 MAX_LIMIT, DEFAULT_LIMIT, DEFAULT_EXPAND = 10_000, 200, 100_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_UPPER = {v: k for k, v in _LOWER.items()}
 
 
 class RequestError(ValueError):
@@ -49,13 +51,21 @@ class Predicate:
             if kind != "string":
                 return F.lit(False)
             low = F.lit(value.translate(_LOWER))
-            return ascii_lower(x).contains(low) if self.op == "contains" else ascii_lower(x).startswith(low)
+            return ascii_lower(x).contains(low) if self.op == "contains" else _spelt(x, value) & ascii_lower(x).startswith(low)
         if kind == "int" and isinstance(value, float):
             x = x.cast("double")
         y = instant(value) if isinstance(value, datetime) else F.lit(value)
         return {"eq": x == y, "ne": x != y, "lt": x < y, "lte": x <= y, "gt": x > y, "gte": x >= y}[self.op]
 
 
+def _spelt(x: Column, prefix: str) -> Column:
+    """Whether x begins as the first two characters of prefix in some case, written out so that a scan can be pruned by it."""
+    forms = {""}
+    for c in prefix[:2]:
+        forms = {f + k for f in forms for k in {c.translate(_LOWER), c.translate(_UPPER)}}
+    return reduce(lambda a, b: a | b, [x.startswith(f) for f in sorted(forms)])
+
+
 def parse_time(text: str) -> datetime | None:
     try:
         at = datetime.fromisoformat(text.replace("Z", "+00:00").replace("z", "+00:00"))

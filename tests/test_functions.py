@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -115,11 +116,12 @@ def test_soundex(spark):
 
 
 def test_similarity(spark):
-    assert text.jaro_of("MARTHA", "MARHTA") == pytest.approx(0.9444, abs=1e-4)
-    assert text.jaro_winkler_of("MARTHA", "MARHTA") == pytest.approx(0.9611, abs=1e-4)
-    assert text.jaro_of("DIXON", "DICKSONX") == pytest.approx(0.7667, abs=1e-4)
-    assert text.jaro_winkler_of("DIXON", "DICKSONX") == pytest.approx(0.8133, abs=1e-4)
-    assert text.jaro_of("", "") == 1.0 and text.jaro_of("a", "") == 0.0
+    pairs = [(b"MARTHA", b"MARHTA"), (b"DIXON", b"DICKSONX"), (b"", b""), (b"a", b"")]
+    assert text.jaro_of(*map(list, zip(*pairs))).tolist() == pytest.approx([0.9444, 0.7667, 1.0, 0.0], abs=1e-4)
+    assert text.jaro_winkler_of(*map(list, zip(*pairs))).tolist() == pytest.approx([0.9611, 0.8133, 1.0, 0.0], abs=1e-4)
+    own = random.Random(3)
+    pairs = [tuple(bytes(own.choice(b"abcd") for _ in range(own.randint(0, 12))) for _ in range(2)) for _ in range(600)]
+    assert text.jaro_of(*map(list, zip(*pairs))).tolist() == pytest.approx([plain_jaro(*p) for p in pairs])
     row = spark.createDataFrame([(["A", "B"], ["B", "A", "C"], [])], "a array<string>, b array<string>, c array<string>")
     assert list(row.select(text.token_jaccard(F.col("a"), F.col("b")), text.token_jaccard(F.col("c"), F.col("c")), text.tokens_contained(F.col("a"), F.col("b")), text.tokens_contained(F.col("a"), F.col("c"))).first()) == [2 / 3, 1.0, True, False]
 
@@ -130,3 +132,39 @@ def test_geography(spark):
     assert list(got)[:4] == ["ezs42", "s0000", 8, 5]
     assert got[4]["lat"] == pytest.approx(42.605, abs=0.01) and got[4]["lon"] == pytest.approx(-5.603, abs=0.01)
     assert got[5] == pytest.approx(111.195, abs=0.01) and got[6] is None
+
+
+def plain_jaro(x, y):
+    """Jaro a byte at a time."""
+    if x == y or not x or not y:
+        return float(x == y)
+    reach, free, met = max(max(len(x), len(y)) // 2, 1) - 1, dict(enumerate(y)), []
+    for i, c in enumerate(x):
+        j = next((j for j in sorted(free) if free[j] == c and abs(i - j) <= reach), None)
+        if j is not None:
+            met.append(c)
+            del free[j]
+    other = [c for j, c in enumerate(y) if j not in free]
+    m = len(met)
+    return (m / len(x) + m / len(y) + (m - sum(p != q for p, q in zip(met, other)) / 2) / m) / 3 if m else 0.0
+
+
+def test_portable_hashes(spark):
+    from moorline.functions import hashing
+
+    # FNV-1a of nothing and of "a", finished by hand.
+    def finished(h):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = ((h ^ (h >> shift)) * factor) % (1 << 64)
+        return h
+
+    assert hashing.hash64(b"") == finished(0xCBF29CE484222325) and hashing.hash64(b"a") == finished(0xAF63DC4C8601EC8C)
+    assert hashing.hash64_fields(["ab", "c"]) != hashing.hash64_fields(["a", "bc"])
+    texts = ["", "a", "é東京", "x" * 300, None]
+    table = spark.createDataFrame([(t, None if t is None else [t, "z"]) for t in texts], "t string, l array<string>")
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    for r in table.select("t", hashing.hash64_column(F.col("t")).alias("h"), hashing.hash64_fields_column(F.col("l")).alias("f")).collect():
+        assert (r.h, r.f) == ((None, None) if r.t is None else (signed(hashing.hash64(r.t.encode())), signed(hashing.hash64_fields([r.t, "z"]))))
+    pair = ((1, 5), (2, 1 << 63))
+    assert hashing.holdout(pair) == hashing.holdout(pair[::-1])
+    assert 0.15 < sum(hashing.holdout(((1, i), (2, i * 7))) for i in range(4000)) / 4000 < 0.25

@@ -180,6 +180,73 @@ def test_service(world):
         assert status_of(e.value) == status
 
 
+def test_http(world):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+    from http.server import ThreadingHTTPServer
+
+    from moorline import serve
+    from moorline.api import Service
+
+    store, bundle, of = world
+    resolve.publish(store, of)
+    server = ThreadingHTTPServer(("127.0.0.1", 0), serve.handler(Service(store, bundle)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(path, body=None):
+        try:
+            with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}", data=body) as r:
+                assert r.headers["Access-Control-Allow-Origin"] == "*"
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert ask("/api/health") == (200, {"status": "ok", "version": store.snapshot().version})
+        status, found = ask("/api/entities/Port?q=rott&limit=5")
+        assert status == 200 and [r["display"] for r in found] == ["Rotterdam (NLRTM)"]
+        assert ask("/api/traverse", json.dumps({"start": {"type": "Port", "ids": [found[0]["entity_id"]]}}).encode())[1]["count"] == 1
+        assert [ask(p)[0] for p in ("/api/entity/none", "/api/entities/Pier", "/api/review?limit=0", "/api/raw/1/x/2", "/nothing", "/api/raw/9/9/9")] == [404, 400, 400, 400, 404, 404]
+    finally:
+        server.shutdown()
+
+
+def test_cluster_metrics(spark, world):
+    _, bundle, of = world
+    golden = evaluate.golden_pairs(bundle, "record_a,record_b,label,truth_id\np1:1,p2:a,match,1\np1:2,p2:b,match,2\np2:d,p2:e,non_match,4\np1:1,p1:2,match,9\n", spark)
+    assert set(r.split for r in golden.collect()) <= {"holdout", "train"}
+    got = cluster.metrics(of.clusters, golden, of.refused).first()
+    assert (got.tp, got.fp, got.fn, got.precision, got.refused_merges) == (2, 0, 1, 1.0, 1) and got.recall == pytest.approx(2 / 3)
+
+
+def test_commands(spark, tmp_path):
+    import json
+
+    from moorline import cli
+
+    (tmp_path / "o.json").write_text(json.dumps(ONTOLOGY))
+    lines = lambda rows: "\n".join(",".join(f'"{c}"' for c in r) for r in [P, *rows])
+    sources = []
+    for name, rows, i in (("p1", P1, 1), ("p2", P2, 2)):
+        (tmp_path / f"{name}.csv").write_text(lines(rows))
+        sources.append({"source": {"id": name, "source_id": i, "connector": "csv", "uri": f"{name}.csv", "natural_key": ["i"], "trust": 0.8}, "mappings": [{"target_type": "Port", "properties": PORTS}]})
+    bundle, store = Bundle.read(ONTOLOGY, sources), str(tmp_path / "store")
+    ask = lambda *words: cli.run(cli.parser().parse_args(["--ontology", "o", "--mappings", "m", "--store", store, "--root", str(tmp_path), *words]), spark)
+    read, cli.Bundle = cli.Bundle, type("Given", (), {"read": staticmethod(lambda *_: bundle)})
+    try:
+        assert ask("ingest", "p1")[0]["records_written"] == 4 and ask("ingest", "p2")[0]["rows_read"] == 5
+        told = ask("block")
+        assert told["candidate_pairs"] >= 4 and set(told["by_generator"])
+        (tmp_path / "golden.csv").write_text("record_a,record_b,label,truth_id\np1:1,p2:a,match,1\np2:d,p2:e,non_match,4\n")
+        judged = ask("eval", str(tmp_path / "golden.csv"))
+        assert judged["clusters"]["f1"] == 1.0 and judged["blocking"]["completeness"] == 1.0
+        assert ask("resolve")["match"] >= 3 and ask("stats")["entities"]["Port"] == 5
+    finally:
+        cli.Bundle = read
+
+
 def test_vessel_scores_use_all_generators(spark, tmp_path):
     from moorline import catalogue
 
