@@ -99,8 +99,10 @@ def cluster_stats(clusters: DataFrame) -> DataFrame:
 def against_golden(clusters: DataFrame, golden: DataFrame) -> DataFrame:
     """Counts of golden pairs (a, b, label) by whether they share a cluster: tp, fp, tn, fn."""
     x, y = clusters.select(F.col("ref").alias("a"), F.col("cluster").alias("p")), clusters.select(F.col("ref").alias("b"), F.col("cluster").alias("q"))
-    met = golden.join(x, "a", "left").join(y, "b", "left").select((F.col("label") == "match").alias("true"), F.coalesce(F.col("p") == F.col("q"), F.lit(False)).alias("said"))
-    return met.agg(F.count_if(F.expr("true and said")).alias("tp"), F.count_if(F.expr("not true and said")).alias("fp"), F.count_if(F.expr("not true and not said")).alias("tn"), F.count_if(F.expr("true and not said")).alias("fn"))
+    met = golden.join(x, "a", "left").join(y, "b", "left")
+    one, together = F.col("label") == "match", F.coalesce(F.col("p") == F.col("q"), F.lit(False))
+    return met.agg(F.count_if(one & together).alias("tp"), F.count_if(~one & together).alias("fp"), F.count_if(~one & ~together).alias("tn"), F.count_if(one & ~together).alias("fn"))
+
 
 
 def metrics(clusters: DataFrame, golden: DataFrame, refused: DataFrame | None = None) -> DataFrame:
