@@ -283,7 +283,7 @@ _xf("trim", ["trim"], "part", "p_partkey", lambda: F.concat(F.lit(" \t "), F.col
 _xf("collapse_ws", ["collapse_ws"], "part", "p_partkey", lambda: F.concat(F.lit(" "), F.regexp_replace("p_type", " ", " \t "), F.lit("  ")), "p_type")
 _xf("upper", ["upper"], "documents", "doc_id", lambda: F.col("text"), f"translate(text, '{_az}', '{_AZ}')")
 _xf("lower", ["lower"], "documents", "doc_id", lambda: F.col("text"), f"translate(text, '{_AZ}', '{_az}')")
-_xf("title_case", ["title_case"], "part", "p_partkey", lambda: F.col("p_type"), f"array_to_string({_WORDS} upper(substr(x, 1, 1)) || lower(substr(x, 2))), ' ')")
+_xf("title_case", ["title_case"], "part", "p_partkey", lambda: F.concat(F.lit("PORT OF o'brien-"), F.col("p_type")), f"'Port of O''Brien-' || array_to_string({_WORDS} upper(substr(x, 1, 1)) || lower(substr(x, 2))), ' ')")
 _xf("strip_diacritics", ["strip_diacritics"], "documents", "doc_id", lambda: F.col("text"), "replace(strip_accents(text), 'ß', 'ss')")
 _xf("first_char", ["first_char"], "part", "p_partkey", lambda: F.col("p_type"), "upper(substr(p_type, 1, 1))")
 _xf("null_if_blank", ["null_if_blank"], "part", "p_partkey", lambda: F.when(F.col("p_size") % 2 == 0, F.lit(" \t")).otherwise(F.col("p_name")), "case when p_size % 2 <> 0 then p_name end")
@@ -380,16 +380,17 @@ def _keys(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     ref = F.struct((F.col("c_custkey") % 3).cast("int").alias("source_id"), F.col("c_custkey").alias("key_hash"))
     keys = [c.select(F.lit("Customer").alias("type"), ref.alias("ref"), F.lit("balance").alias("generator"), F.floor(F.col("c_acctbal") / 50).cast("string").alias("value")), c.select(F.lit("Customer").alias("type"), ref.alias("ref"), F.lit("place").alias("generator"), F.concat_ws("|", "c_nationkey", "c_mktsegment", F.floor(F.col("c_custkey") / 100)).alias("value"))]
-    return keys[0].union(keys[1])
+    keys.append(c.select(F.lit("Customer").alias("type"), ref.alias("ref"), F.lit("segment").alias("generator"), F.col("c_mktsegment").alias("value")))
+    return reduce(DataFrame.union, keys)
 
 
-_KEYS = "(select c_custkey k, 'balance' generator, floor(c_acctbal / 50)::bigint::varchar v from customer union all select c_custkey, 'place', c_nationkey || '|' || c_mktsegment || '|' || floor(c_custkey / 100)::bigint from customer)"
+_KEYS = "(select c_custkey k, 'balance' generator, floor(c_acctbal / 50)::bigint::varchar v from customer union all select c_custkey, 'place', c_nationkey || '|' || c_mktsegment || '|' || floor(c_custkey / 100)::bigint from customer union all select c_custkey, 'segment', c_mktsegment from customer)"
 _SIZES = f"(select generator, v, count(*) n from {_KEYS} group by 1, 2)"
-_PAIRS = f"select a.k a, b.k b, array_to_string(list_sort(list_distinct(list(a.generator))), '+') via from {_KEYS} a join {_KEYS} b on a.generator = b.generator and a.v = b.v and (a.k % 3, a.k) < (b.k % 3, b.k) join {_SIZES} s on s.generator = a.generator and s.v = a.v where s.n <= 20 group by 1, 2"
+_PAIRS = f"select a.k a, b.k b, array_to_string(list_sort(list_distinct(list(a.generator))), '+') via from {_KEYS} a join {_KEYS} b on a.generator = b.generator and a.v = b.v and (a.k % 3, a.k) < (b.k % 3, b.k) join {_SIZES} s on s.generator = a.generator and s.v = a.v where s.n <= {blocking.MAX_BLOCK} group by 1, 2"
 
 
 def _pairs(spark, sf_dir):
-    return blocking.candidate_pairs(_keys(spark, sf_dir), max_block=20)
+    return blocking.candidate_pairs(_keys(spark, sf_dir))
 
 
 @query(_PAIRS)
@@ -399,12 +400,12 @@ def block_pairs(spark, sf_dir):
 
 @query(f"select count(*) pairs from ({_PAIRS}) where a % 3 <> b % 3")
 def block_cross_source(spark, sf_dir):
-    return blocking.candidate_pairs(_keys(spark, sf_dir), max_block=20, cross_source_only=True).agg(F.count("*").alias("pairs"))
+    return blocking.candidate_pairs(_keys(spark, sf_dir), cross_source_only=True).agg(F.count("*").alias("pairs"))
 
 
-@query(f"select sum(n)::bigint blocking_keys, count(*) blocks, max(n) largest_block, count(*) filter (n > 20) purged_blocks from {_SIZES}")
+@query(f"select sum(n)::bigint blocking_keys, count(*) blocks, max(n) largest_block, count(*) filter (n > {blocking.MAX_BLOCK}) purged_blocks from {_SIZES}")
 def block_stats(spark, sf_dir):
-    return blocking.block_stats(_keys(spark, sf_dir), 20)
+    return blocking.block_stats(_keys(spark, sf_dir))
 
 
 @query(f"select generator, count(*) pairs from (select unnest(string_split(via, '+')) generator from ({_PAIRS})) group by 1")
@@ -418,9 +419,9 @@ def reduction_ratio(spark, sf_dir):
     return blocking.reduction(_pairs(spark, sf_dir), n).withColumn("reduction_ratio", F.round("reduction_ratio", 12))
 
 
-@query(f"select generator, v \"value\", n from {_SIZES} where n > 20")
+@query(f"select generator, v \"value\", n from {_SIZES} where n > {blocking.MAX_BLOCK}")
 def block_purge(spark, sf_dir):
-    return blocking.block_sizes(_keys(spark, sf_dir)).where("n > 20").select("generator", "value", "n")
+    return blocking.block_sizes(_keys(spark, sf_dir)).where(F.col("n") > blocking.MAX_BLOCK).select("generator", "value", "n")
 
 
 _RUNS = "select c_custkey node, min(c_custkey) over (partition by g) component from (select c_custkey, sum(cut) over (order by c_custkey) g from (select c_custkey, case when c_mktsegment = lag(c_mktsegment) over (order by c_custkey) then 0 else 1 end cut from customer))"
@@ -658,10 +659,10 @@ def lineage_explain(spark, sf_dir):
     return of.select(F.split("raw", "\t")[0].alias("raw_key"), F.col("s").alias("emitted"), "raw_value", F.col("origin.column").alias("column"), "verified")
 
 
-@query("select 'Customer' \"type\", count(*) n from customer union all select 'Supplier', count(*) from supplier union all select 'Nation', count(*) from nation union all select 'Order', count(*) from orders")
+@query("select 'Customer' \"type\", count(*) n from customer union all select 'Supplier', count(*) from supplier union all select 'Nation', count(*) from nation union all select 'Order', count(*) from orders union all select 'Region', count(*) from region union all select 'Part', count(*) from part union all select 'Event', count(*) from events union all select 'User', count(distinct user_id) from events union all select 'Document', count(*) from documents")
 def type_counts(spark, sf_dir):
     g = world(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [g.entity(t).agg(F.lit(t).alias("type"), F.count("*").alias("n")) for t in ("Customer", "Supplier", "Nation", "Order")])
+    return reduce(DataFrame.unionByName, [e.agg(F.lit(t).alias("type"), F.count("*").alias("n")) for t, e in g.entities.items()])
 
 
 _SHIP = {"version": 1, "entity_types": {"Vessel": {"id": 1, "properties": {"name": {"id": 1, "type": "string", "title": True, "fuse": "most_trusted"}, "imo": {"id": 2, "type": "string", "indexed": True}, "mmsi": {"id": 3, "type": "string"}, "call_sign": {"id": 4, "type": "string"}, "flag": {"id": 5, "type": "string"}}}, "Port": {"id": 2, "properties": {"name": {"id": 6, "type": "string", "title": True, "fuse": "most_trusted"}, "locode": {"id": 7, "type": "string"}, "alt_names": {"id": 8, "type": "string[]"}, "country": {"id": 9, "type": "string"}, "lat": {"id": 10, "type": "double", "fuse": "numeric_median"}, "lon": {"id": 11, "type": "double", "fuse": "numeric_median"}}}}}

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moorline.stage import materialise
+
 SCHEMA = "row_seq bigint, raw string, fields map<string,string>"
 #: Bytes of one file that are hashed at a time.
 CHUNK = 256 << 10
@@ -160,13 +162,16 @@ def read_jdbc(spark: SparkSession, dsn: str, query: str, params: Sequence[str] =
 def from_table(table: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Any table as rows: cells as text, raw tab-separated, the sequence by order (else as they come)."""
     names = table.columns
+    if order:
+        table = table.orderBy(*order)
     cells = table.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in names])
     return numbered(cells.select(F.concat_ws("\t", *[F.col(f"`{c}`") for c in names]).alias("raw"), F.create_map(*[y for c in names for y in (F.lit(c), F.col(f"`{c}`"))]).alias("fields")))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows with a dense row_seq: counts of the partitions before, then the place in the own one."""
-    tagged = rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    """rows with a dense row_seq: counts of the partitions before, then the place in the own one. The rows are written
+    with their places first, so that a partition that is worked out again can't come in another order."""
+    tagged = materialise(rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "numbered")
     sizes = {r.part: r.n for r in tagged.groupBy("part").agg(F.count("*").alias("n")).collect()}
     before, so_far = {}, 0
     for part in sorted(sizes):
