@@ -720,3 +720,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert not set(texts) & set(bad) and not {200, 201, 202} & set(texts)
     assert set(good) <= set(texts) and "[EMAIL]" in texts[203]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(texts)
+    # The last stage's rows by a plain version: every kept text's ids, cut and placed without gaps.
+    library = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    places = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids + [1]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and r.start == r.piece == 0
+        places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_pipeline_of_nulls_and_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = T.StructType.fromDDL("doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = [(1, None, None, None, None), (2, "", None, None, 0), (None, prose(60, 5) + ".", "en", None, None), (None, None, None, None, None), (3, prose(60, 6) + ".", None, "s", None), (3, prose(60, 6) + ".", None, "s", None)]
+    for name, own in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(None, None), (1, None)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        # Without labels nothing is rejected, rows of one id stay together, and a null text is packed as the end id alone.
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.length == 1) for r in got) == sorted((i is not None, i or 0, not t) for i, t, *_ in own)
