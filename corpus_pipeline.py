@@ -1,7 +1,12 @@
 """A training corpus from the table documents: quality, near duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next one's docs. All but the last keep the columns of documents.
+next one's docs. All but the last keep the columns of documents, whatever others there are.
+
+Null and empty texts are documents without words: the classifier scores them like others, they are near no other text,
+no window of a benchmark item occurs in them, nothing is redacted, and packing gives them the end id alone. Rows with a
+null doc_id are near no other and stay. Rows of one doc_id stay or go together as near duplicates. An empty table gives
+an empty result; without labels the classifier rejects nothing, and without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
