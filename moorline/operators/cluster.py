@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moorline.stage import ship
+from moorline.stage import discard, materialise, ship
 
 from .evaluate import with_rates
 from .graph import components
 
-#: Records of one connected component that the greedy step takes in one task; see constrained().
+#: Records of one connected component that the greedy step takes in one task; larger ones are settled in rounds.
 LARGEST = 200_000
 
 
@@ -58,12 +60,45 @@ def greedy(edges: list[tuple[str, str, float]], vetoes: set[tuple[str, str]]) ->
     return {n: min(members[c]) for n, c in of.items()}, refused
 
 
+def in_rounds(edges: DataFrame, vetoes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As greedy(), for components of any size: merged labels (a, b) and refused edges (a, b) of edges (a, b, score).
+
+    An edge that comes first among all that touch either of its two clusters is decided the same in the whole order as
+    now, as no edge before it touches them. Each round decides all such edges, which share no cluster, and renames the
+    clusters that merge by their smallest member. Rounds are written, so lineage stays short.
+    """
+    edges = edges.groupBy("a", "b").agg(F.max("score").alias("score"))
+    live = materialise(edges.select("a", "b", F.struct((-F.col("score")).alias("against"), "a", "b").alias("place"), F.col("a").alias("x"), F.col("b").alias("y")).where("a <> b"), "edges")
+    barred = materialise(vetoes.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "vetoes")
+    merged, refused = [], []
+    while not live.isEmpty():
+        first = live.select(F.explode(F.array("x", "y")).alias("of"), "place").groupBy("of").agg(F.min("place").alias("best"))
+        now = live.join(first.toDF("x", "best_x"), "x").join(first.toDF("y", "best_y"), "y").where("place = best_x and place = best_y")
+        marks = barred.withColumn("apart", F.lit(True))
+        told = now.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).join(marks, ["x", "y"], "left")
+        told = materialise(told.select("a", "b", "x", "y", F.coalesce("apart", F.lit(False)).alias("apart")), "decided")
+        joins = told.where("not apart").select(F.col("y").alias("old"), F.col("x").alias("new"))
+        merged.append(joins.select(F.col("old").alias("a"), F.col("new").alias("b")))
+        refused.append(told.where("apart").select("a", "b"))
+
+        def renamed(of: DataFrame, joins: DataFrame = joins) -> DataFrame:
+            for c in ("x", "y"):
+                of = of.join(joins.select(F.col("old").alias(c), F.col("new").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+            return of.where("x <> y")
+
+        before = live, barred
+        live = materialise(renamed(live.join(told.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "place", "x", "y"), "edges")
+        barred = materialise(renamed(barred).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "vetoes")
+        discard(*before)
+    none = live.select("a", "b").limit(0)
+    return reduce(DataFrame.union, merged, none), reduce(DataFrame.union, refused, none)
+
+
 def constrained(scored: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ref, cluster) of all records, and the refused edges (a, b).
 
     Merges and vetoes of one component of match edges don't touch another, so each component is settled on its own.
-    Only components that hold a veto need the greedy step; a component of more than LARGEST records that does is an
-    error, as its greedy order cannot be split.
+    Only components that hold a veto need the greedy step: in one task each, or in rounds if of more than LARGEST records.
     """
     ship(scored.sparkSession)
     matches = scored.where("decision = 'match'").select(ref_text("a").alias("a"), ref_text("b").alias("b"), "score")
@@ -73,9 +108,7 @@ def constrained(scored: DataFrame, records: DataFrame) -> tuple[DataFrame, DataF
     inside = vetoes.join(x, "a").join(y, "b").where("component = other").select("component", "a", "b", F.lit(None).cast("double").alias("score"))
     torn = inside.select("component").distinct()
     rows = matches.join(x, "a").select("component", "a", "b", "score").join(torn, "component", "left_semi").unionByName(inside)
-    sizes = of.join(torn, "component", "left_semi").groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST)
-    if not sizes.isEmpty():
-        raise RuntimeError(f"a component of more than {LARGEST} records holds a veto: block or score more strictly")
+    large = materialise(of.join(torn, "component", "left_semi").groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST).select("component"), "large")
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         edges = [(a, b, s) for a, b, s in zip(part["a"], part["b"], part["score"]) if s == s and s is not None]
@@ -83,10 +116,15 @@ def constrained(scored: DataFrame, records: DataFrame) -> tuple[DataFrame, DataF
         clusters, refused = greedy(edges, barred)
         return pd.DataFrame([(n, c, None) for n, c in clusters.items()] + [(a, None, b) for a, b in refused], columns=["node", "cluster", "refused"])
 
-    settled = rows.groupBy("component").applyInPandas(settle, "node string, cluster string, refused string")
+    settled = rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(settle, "node string, cluster string, refused string")
     whole = of.join(torn, "component", "left_anti").select("node", F.col("component").alias("cluster"))
     clusters = whole.unionByName(settled.where("cluster is not null").select("node", "cluster"))
-    return _with_singletons(clusters, records), settled.where("refused is not null").select(F.col("node").alias("a"), F.col("refused").alias("b"))
+    refused = settled.where("refused is not null").select(F.col("node").alias("a"), F.col("refused").alias("b"))
+    if not large.isEmpty():
+        own = rows.join(large, "component", "left_semi")
+        merged, more = in_rounds(own.where("score is not null").select("a", "b", "score"), own.where("score is null").select("a", "b"))
+        clusters, refused = clusters.unionByName(components(merged).withColumnRenamed("component", "cluster")), refused.unionByName(more)
+    return _with_singletons(clusters, records), refused
 
 
 def cluster_stats(clusters: DataFrame) -> DataFrame:

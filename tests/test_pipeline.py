@@ -221,6 +221,24 @@ def test_cluster_metrics(spark, world):
     assert (got.tp, got.fp, got.fn, got.precision, got.refused_merges) == (2, 0, 1, 1.0, 1) and got.recall == pytest.approx(2 / 3)
 
 
+def test_large_components_are_settled_as_in_one_task(spark, monkeypatch):
+    import random
+
+    own = random.Random(6)
+    ref = lambda i: (1, i)
+    pairs = {(own.randrange(40), own.randrange(40)) for _ in range(110)}
+    rows = [(ref(a), ref(b), float(own.randrange(6)), "match", False) for a, b in sorted(pairs) if a < b] + [(ref(a), ref(b), 0.0, "non_match", True) for a, b in sorted(pairs) if a > b]
+    kind = "a struct<source_id:int,key_hash:bigint>, b struct<source_id:int,key_hash:bigint>, score double, decision string, vetoed boolean"
+    scored = spark.createDataFrame(rows, kind)
+    records = spark.createDataFrame([("T", ref(i)) for i in range(40)], "type string, ref struct<source_id:int,key_hash:bigint>")
+    told = []
+    for largest in (200_000, 0):
+        monkeypatch.setattr(cluster, "LARGEST", largest)
+        clusters, refused = cluster.constrained(scored, records)
+        told.append((sorted((r.ref.key_hash, r.cluster) for r in clusters.collect()), sorted((r.a, r.b) for r in refused.collect())))
+    assert told[0] == told[1] and len(told[0][1]) > 3 and len(told[0][0]) == 40
+
+
 def test_commands(spark, tmp_path):
     import json
 
