@@ -129,8 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     d = len(NAMES)
     known = marked(labels)
-    own = docs.select("doc_id", "text").join(known.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = with_features(own).join(known, "doc_id").select("quality", "stats")
+    # About SAMPLE rows at most, so they go to the texts and not the texts to them.
+    own = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    rows = with_features(own).join(F.broadcast(known), "doc_id").select("quality", "stats")
 
     def partial(batches):
         total = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
