@@ -272,3 +272,25 @@ def test_vessel_scores_use_all_generators(spark, tmp_path):
     spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_nationkey bigint").write.parquet(str(tmp_path / "supplier.parquet"))
     got = catalogue.QUERIES["vessel_scores"](spark, str(tmp_path)).collect()
     assert [(r.a, r.b) for r in got] == [(1, 3)]
+
+
+@pytest.mark.parametrize("n", [120, 100_100])
+def test_window_equals_scan(spark, tmp_path, monkeypatch, n):
+    """Orders on both bounds, without a date and of another segment; and more orders than max_expand is by default."""
+    from moorline import catalogue
+    from moorline.plans import ir
+
+    empty = {"region": "r_regionkey bigint, r_name string", "nation": "n_nationkey bigint, n_name string, n_regionkey bigint", "supplier": "s_suppkey bigint, s_name string, s_acctbal double, s_nationkey bigint", "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int", "lineitem": "l_orderkey bigint, l_partkey bigint", "events": "event_id bigint, user_id bigint, event_type string, value double, ts timestamp_ntz", "documents": "doc_id bigint, lang string, source string, n_chars int"}
+    tables = {name: spark.createDataFrame([], columns) for name, columns in empty.items()}
+    tables["customer"] = spark.createDataFrame([(1, "a", 0.0, "MACHINERY", 0), (2, "b", 0.0, "BUILDING", 0), (3, "c", 0.0, "MACHINERY", 0)], "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string, c_nationkey bigint")
+    # The keys from 90 on, or from 99000 to 99999, come last as strings, and all but the special ones are in the quarter.
+    inside = "id between 90 and 99 or id between 99000 and 99999"
+    day = f"case id when 92 then null when 93 then timestamp_ntz '1995-12-31 23:59:59' when 94 then timestamp_ntz '1996-01-01' when 95 then timestamp_ntz '1996-03-31 23:59:59' when 96 then timestamp_ntz '1996-04-01' else if({inside}, timestamp_ntz '1996-02-03', timestamp_ntz '1994-05-06') end"
+    tables["orders"] = spark.range(1, n + 1).selectExpr("id o_orderkey", "if(id = 97, 2, 1) o_custkey", "'O' o_orderstatus", "1.0D o_totalprice", f"{day} o_orderdate", "'1-URGENT' o_orderpriority")
+    for name, rows in tables.items():
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    ask = lambda: tuple(catalogue.QUERIES["window_equals_scan"](spark, str(tmp_path)).first())
+    right = 6 + (1000 if n > 99_999 else 0)
+    assert ask() == (right, right, True)
+    monkeypatch.setattr(ir.Window, "column", lambda self, ts: (ts > ir.instant(self.low)) & (ts <= ir.instant(self.high)))
+    assert ask() == (right, right, False)
