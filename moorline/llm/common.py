@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from moorline.operators.graph import components
 from moorline.stage import discard, materialise, remove, shared_dir, ship
 
-from .tokens import release
+from .tokens import give_back, release
 
-__all__ = ["append", "components", "discard", "free_name", "keep", "large_batches", "materialise", "open_fs", "release", "remove", "shared_dir", "ship", "to_batch", "tune", "write_bytes"]
+__all__ = ["append", "components", "discard", "free_name", "give_back", "keep", "large_batches", "materialise", "open_fs", "release", "remove", "shared_dir", "ship", "to_batch", "tune", "write_bytes"]
 
 #: Rows and bytes of one Arrow batch handed to Python; both bound a worker's memory, however long texts are.
 BATCH_ROWS = 2000
@@ -99,5 +99,7 @@ def append(df: DataFrame, column: str, make, kind: str) -> tuple[DataFrame, str]
             at = batch.schema.names.index(column)
             new = pa.array(function(batch.column(at).to_pylist()), type=arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, name])
+            del batch, new
+        give_back()
 
     return df.mapInArrow(run, schema), name

@@ -92,7 +92,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
                 out, first = packed(rows, first)
                 yield from out
                 rows, held = [], 0
+            del batch
+            tokens.give_back()
         yield from packed(rows, first)[0]
+        del rows
+        tokens.give_back()
 
     ddl = {"piece": "int", "ids": "binary", "doc_id": kind}
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} {ddl.get(n, 'bigint')}" for n in names))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, tune
+from .common import append, give_back, release, tune
 
 #: Statistics of a text, in the order of features().
 NAMES = ("length", "upper", "digits", "symbols", "loud", "stops", "foreign", "spaces", "breaks", "word_length", "word_spread", "short_words", "variety", "entropy", "lines", "bare")
@@ -103,12 +103,6 @@ def model_from(sums: dict[int, np.ndarray]) -> Model:
     return Model(n[1] / sum(n), np.array(means), np.array(factors), np.array(offsets))
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """doc_id and the array stats of every document."""
-    table, made = append(docs.select("doc_id", "text"), "text", lambda texts: [features(t) for t in texts], "array<double>")
-    return table.select("doc_id", F.col(made).alias("stats"))
-
-
 def held_out(column: str = "doc_id"):
     """True for rows that are never learned from."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(True))
@@ -130,18 +124,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     d = len(NAMES)
     known = marked(labels)
     # About SAMPLE rows at most, so they go to the texts and not the texts to them.
-    own = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
-    rows = with_features(own).join(F.broadcast(known), "doc_id").select("quality", "stats")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text")
 
     def partial(batches):
+        # Features and sums in one run: two in a task would leave an executor twice as many workers as cores.
+        release()
         total = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
         for batch in batches:
             if batch.num_rows:
                 kinds = batch.column(0).to_numpy(zero_copy_only=False)
-                x = np.array(batch.column(1).to_pylist())
+                x = np.array([features(t) for t in batch.column(1).to_pylist()])
                 for c in (0, 1):
                     own = x[kinds == c]
                     total[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+            del batch
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([total[0], total[1]], pa.list_(pa.float64()))], names=["quality", "sums"])
 
     parts = rows.mapInArrow(partial, "quality int, sums array<double>").select("quality", F.posexplode("sums").alias("at", "x"))

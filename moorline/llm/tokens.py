@@ -7,12 +7,14 @@ pre-tokens, which the library's model encodes without the other steps; the whole
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 #: Chunks kept in each of the two generations of a worker's cache, and the longest that is kept.
 CACHE = 300_000
@@ -139,12 +141,25 @@ def encoder(path: str) -> Encoder:
     """This process's encoder of a vocabulary file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        give_back()
     return _encoders[path]
 
 
 def release() -> None:
     """Frees this process's encoders and their caches: workers outlive a stage, and the next one needs the memory."""
     _encoders.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system, which the allocators of Arrow and C keep otherwise.
+
+    An executor has more workers than cores once a stage has run two in a task. They take turns and outlive their
+    tasks, so what each of them keeps adds up beside those at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # not every C library has it
+        trim(0)
 
 
 def vocabulary(name: str) -> str:

@@ -5,6 +5,8 @@ import collections
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -80,6 +82,14 @@ def test_quality_learns_from_a_sample_and_counts_every_label(spark, monkeypatch)
     assert len(got) == len(rows) and sum(r.predicted == int(r.doc_id < 1000) for r in got) / len(got) > 0.97
 
 
+def test_quality_learns_in_one_python_run_a_task(spark, monkeypatch):
+    table = spark.createDataFrame([(i, prose(60, i)) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    kind, runs = type(table), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, own=kind.mapInArrow, **b: runs.append(a) or own(self, *a, **b))
+    assert quality.fit(table, labels).means is not None and len(runs) == 1
+
+
 def test_quality_matches_plain_densities():
     r = np.random.default_rng(1)
     d = len(quality.NAMES)
@@ -484,6 +494,33 @@ def test_cached_encoder_equals_the_library(name, monkeypatch):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == expected, repr(text)
 
 
+def test_released_memory_goes_back_to_the_system():
+    code = """
+import random, re
+import pyarrow as pa
+from moorline.llm import tokens
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+path, r = tokens.vocabulary("word_bpe_49k.json"), random.Random(1)
+tokens.encoder(path).ids("warm up")
+tokens.release()
+before = mb()
+for _ in range(4):
+    batch = pa.array([" ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(300)) for _ in range(100)])
+    parts = [pa.concat_arrays([batch] * 40) for _ in range(4)]
+    for text in batch.to_pylist():
+        tokens.encoder(path).ids(text)
+    del batch, parts, text
+held = mb()
+tokens.release()
+print(held - before, mb() - before)
+"""
+    held, left = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert held > 60 and left < 0.6 * held, (held, left)
+
+
 def test_packing(spark, docs, none, monkeypatch):
     monkeypatch.setattr(packing, "NEARLY", 0)
     library = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
